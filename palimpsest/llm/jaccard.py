@@ -4,12 +4,14 @@ A document is the set of its `n`-token shingles. Sizes are cut into bands such t
 Jaccard similarity >= `threshold` lie in the same band or in neighbouring ones; a set belongs to its
 own band's group and to the next one's. In a group whose largest size is r, two similar sets differ in
 at most k = 2 r (1 - t) / (1 + t) shingles. The shingle domain is cut into P partitions by hash; the
-content of each non-empty partition is a signature. With P = k + 2, two partitions at least agree
-whatever the k differences hit. Where 2 r is large, P is smaller: the least for which two sets exactly at the
-threshold share no signature with a probability of 1e-3 at most (more similar ones: far less). Groups
+content of each non-empty partition is a signature. With P = k + s + 1, s + 1 partitions at least agree
+whatever the k differences hit, so asking for s shared signatures loses nothing but pairs with several empty partitions;
+s is 1 for small sets and 2 from SHARED_FROM shingles on, which keeps out sets that agree by chance in one partition of
+common shingles. Where k is large, P is smaller: the least for which two sets exactly at the
+threshold share fewer signatures with a probability of 1e-3 at most (more similar ones: far less). Groups
 with r above FEATURES enumerate signatures over a hash-chosen part 2**-j of the shingle domain, the same for all
 sets of the group, so the signatures of a set do not grow with its text. All pairs that
-share a signature are candidates; all candidates are verified on their whole sets.
+share s signatures are candidates; all candidates are verified on their whole sets.
 
 Sets that are equal are one set in the search; each further document with that set is reported
 with the first one (similarity 1), so nothing about them is lost and the result stays linear in copies.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import load, stage
 from .tokens import SQL_TOKENS, U64, Chunk, chunks, mix
 
-N, THRESHOLD, FEATURES, MISS, TILE = 2, 0.7, 128, 1e-3, 400
+N, THRESHOLD, FEATURES, MISS, TILE, SHARED_FROM = 2, 0.7, 128, 1e-3, 400, 18
 #: Bits of the candidates' Bloom filter: its size does not depend on the data, a full one just lets more rows through.
 BLOOM_BITS = 23
 _U32 = U64(0xFFFFFFFF)
@@ -48,19 +50,27 @@ class Bands:
         while low[-1] <= largest:
             low.append(math.floor(low[-1] / threshold + 1e-9) + 1)
         self.low = np.array(low)
-        self.shift, self.parts = [], []
+        self.shift, self.parts, self.shared = [], [], []
         for g in range(len(low) - 1):
             r = low[g + 1] - 1
             shift = max(0, math.ceil(math.log2(r / features)))
             k = 2 * r * (1 - threshold) / (1 + threshold)
             seen = k / 2**shift
-            parts = math.floor(seen + 1e-9) + 2
+            s = 2 if low[g] >= SHARED_FROM else 1
+            parts = math.floor(seen + 1e-9) + s + 1
             if seen >= 1:
-                parts = next((p for p in range(2, parts) if (1 - math.exp(-seen / p)) ** p <= miss), parts)
+                parts = next((p for p in range(2, parts) if self.missed(p, seen, 2 * r / 2**shift / (1 + 1 / threshold), s) <= miss), parts)
             self.shift.append(shift)
             self.parts.append(parts)
+            self.shared.append(s)
         self.shift, self.parts = np.array(self.shift + self.shift[-1:], U64), np.array(self.parts + self.parts[-1:], U64)
 
+    @staticmethod
+    def missed(parts: int, differ: float, common: float, shared: int) -> float:
+        """Probability that fewer than `shared` partitions are non-empty and free of differences."""
+        q = math.exp(-differ / parts) * (1 - math.exp(-common / parts))
+        return sum(math.comb(parts, i) * q**i * (1 - q) ** (parts - i) for i in range(shared))
+
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, "right") - 1
 
@@ -129,14 +139,17 @@ def describe(docs: DataFrame, n: int, threshold: float) -> DataFrame:
 
 
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: documents that share a signature in the later one of their own groups and are close enough in size."""
+    """(a, b), a < b: documents that share enough signatures in the later one of their own groups and are close enough in size."""
     rows = reps.select("doc_id", "size", F.explode("own").alias("sig"), F.lit(True).alias("mine")).unionByName(reps.select("doc_id", "size", F.explode("also").alias("sig"), F.lit(False).alias("mine")))
     # most signatures are unique: they go before the self-join, on the same partitioning
     rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1").drop("n")
     x, y = rows.alias("x"), rows.alias("y")
     close = F.least("x.size", "y.size") >= F.lit(threshold) * F.greatest("x.size", "y.size") - 1e-6
     both = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.mine") | F.col("y.mine")) & close)
-    return both.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    pairs = both.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("x.size", "y.size")).alias("most"))
+    bands = Bands(threshold)
+    two = int(bands.low[bands.shared.index(2)])
+    return pairs.where((F.col("shared") >= 2) | (F.col("most") < two)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,9 +206,9 @@ def verify(docs: DataFrame, pairs: DataFrame, member: DataFrame, n: int, thresho
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), values], ["v", "grams"])
 
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << BLOOM_BITS)).cast("long"), "text")
-    known = texts.mapInArrow(sets, "v long, grams binary").join(tiled, "v")
-    other = F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("o")
-    members = known.select("v", "c", "h", "grams", other).select("c", F.least("h", "o").alias("x"), F.greatest("h", "o").alias("y"), F.col("v").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+    # a set goes to the tasks that have a pair for it, and to no other tile
+    needed = todo.select("c", "x", "y", F.explode(F.array("a", "b")).alias("v")).distinct()
+    members = texts.mapInArrow(sets, "v long, grams binary").join(needed, "v").select("c", "x", "y", F.col("v").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
     # a task's sets come first, then its pairs; the single-tile case is the common one
     rows = members.unionByName(todo).repartition("c", "x", "y").sortWithinPartitions("c", "x", "y", F.col("b").isNotNull(), "a")
 
