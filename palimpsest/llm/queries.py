@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op3_benchmark_decontamination
 from .jaccard import op5_ngram_jaccard_join, pairs_sql
 from .lines import op10_line_dedup, runs_sql
+from .substrings import intervals_sql, op9_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op5_ngram_jaccard_join, op10_line_dedup)}
-ORACLES = {"op5_ngram_jaccard_join": pairs_sql(), "op10_line_dedup": runs_sql()}
+QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op5_ngram_jaccard_join, op9_substring_dedup, op10_line_dedup)}
+ORACLES = {"op5_ngram_jaccard_join": pairs_sql(), "op9_substring_dedup": intervals_sql(), "op10_line_dedup": runs_sql()}
