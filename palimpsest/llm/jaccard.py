@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 from .common import load, stage
 from .tokens import SQL_TOKENS, U64, Chunk, chunks, mix
 
-N, THRESHOLD, FEATURES, MISS, TILE, SHARED_FROM = 2, 0.7, 128, 1e-3, 400, 18
+N, THRESHOLD, FEATURES, MISS, TILE, SHARED_FROM = 2, 0.7, 128, 1e-3, 3000, 18
 #: Bits of the candidates' Bloom filter: its size does not depend on the data, a full one just lets more rows through.
 BLOOM_BITS = 23
-_U32 = U64(0xFFFFFFFF)
+#: The low bits of a signature name its partition.
+PART = U64(63)
 
 
 class Bands:
@@ -60,6 +61,8 @@ class Bands:
             parts = math.floor(seen + 1e-9) + s + 1
             if seen >= 1:
                 parts = next((p for p in range(2, parts) if self.missed(p, seen, 2 * r / 2**shift / (1 + 1 / threshold), s) <= miss), parts)
+            if parts > 64:
+                raise ValueError("threshold too low for this number of features")
             self.shift.append(shift)
             self.parts.append(parts)
             self.shared.append(s)
@@ -107,7 +110,8 @@ def signatures(grams: np.ndarray, doc: np.ndarray, group: np.ndarray, bands: Ban
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     content = np.add.reduceat(scattered[order], first, dtype=U64)
     d = key[first] // 4096
-    return mix(content ^ mix((group[d].astype(U64) << U64(20)) + (key[first] % 4096).astype(U64))), d
+    p = (key[first] % 4096).astype(U64)
+    return (mix(content ^ mix((group[d].astype(U64) << U64(20)) + p)) & ~PART) | p, d
 
 
 SETS = "doc_id long, key long, size long, own array<long>, also array<long>"
@@ -139,17 +143,79 @@ def describe(docs: DataFrame, n: int, threshold: float) -> DataFrame:
 
 
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: documents that share enough signatures in the later one of their own groups and are close enough in size."""
-    rows = reps.select("doc_id", "size", F.explode("own").alias("sig"), F.lit(True).alias("mine")).unionByName(reps.select("doc_id", "size", F.explode("also").alias("sig"), F.lit(False).alias("mine")))
-    # most signatures are unique: they go before the self-join, on the same partitioning
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1").drop("n")
-    x, y = rows.alias("x"), rows.alias("y")
-    close = F.least("x.size", "y.size") >= F.lit(threshold) * F.greatest("x.size", "y.size") - 1e-6
-    both = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.mine") | F.col("y.mine")) & close)
-    pairs = both.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("x.size", "y.size")).alias("most"))
-    bands = Bands(threshold)
-    two = int(bands.low[bands.shared.index(2)])
-    return pairs.where((F.col("shared") >= 2) | (F.col("most") < two)).select("a", "b")
+    """(a, b, tree), a < b, each once: documents that share enough signatures in the later one of their own groups.
+
+    Signatures that one set has alone go first, then sets with too few left. Each remaining signature's bucket gets its sets
+    along with their other signatures in the group, so a pair is reported in the first bucket that it
+    shares only, and nothing of the size of all pairs is shuffled. The pairs marked `tree` connect what all pairs connect, with at most
+    one pair for each row of a bucket.
+    """
+    two = int(Bands(threshold).low[Bands(threshold).shared.index(2)])
+    least = float(threshold)
+
+    def group_rows(column: str, mine: bool) -> DataFrame:
+        return reps.select("doc_id", "size", F.lit(mine).alias("mine"), F.explode(column).alias("sig"))
+
+    rows = group_rows("own", True).unionByName(group_rows("also", False))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1")
+    held = rows.groupBy("doc_id", "size", "mine").agg(F.collect_list("sig").alias("sigs")).where((F.size("sigs") > 1) | (F.col("size") < two))
+    buckets = held.select("doc_id", "size", "mine", "sigs", F.explode("sigs").alias("sig")).repartition("sig").sortWithinPartitions("sig", "doc_id")
+
+    def pairs_of(sig: int, doc: np.ndarray, size: np.ndarray, mine: np.ndarray, table: np.ndarray) -> Iterator[tuple]:
+        """table: a row of signatures by partition for each set of the bucket, 0 where there is none."""
+        part, label = sig & 63, np.arange(len(doc))
+        for i in range(len(doc) - 1):
+            rest = np.flatnonzero((mine[i + 1 :] | mine[i]) & (np.minimum(size[i + 1 :], size[i]) >= least * np.maximum(size[i + 1 :], size[i]) - 1e-6) & (doc[i + 1 :] != doc[i])) + i + 1
+            if not len(rest):
+                continue
+            same = (table[rest] == table[i]) & (table[i] != 0)
+            fits = ~same[:, :part].any(axis=1) & ((same.sum(axis=1) > 1) | (np.maximum(size[rest], size[i]) < two))
+            rest = rest[fits]
+            if not len(rest):
+                continue
+            value, first = np.unique(label[rest], return_index=True)
+            new = value != label[i]
+            tree = np.zeros(len(rest), bool)
+            tree[first[new]] = True
+            label[np.isin(label, value)] = label[i]
+            yield doc[i].repeat(len(rest)), doc[rest], tree
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # what has been read of the bucket at hand
+        now = None
+
+        def close() -> list[tuple]:
+            if sum(len(h[0]) for h in held) < 2:
+                return []
+            doc, size, mine, table = (np.concatenate(x) for x in zip(*held))
+            return list(pairs_of(now, doc, size, mine, table))
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            low, high, tree = (np.concatenate(x) for x in zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(low, high)), pa.array(np.maximum(low, high)), pa.array(tree)], ["a", "b", "tree"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, size, mine, sigs, sig = (batch.column(i) for i in range(5))
+            doc, size, sig, mine = doc.to_numpy(), size.to_numpy(), sig.to_numpy(), mine.to_numpy(zero_copy_only=False)
+            flat = sigs.flatten().to_numpy().view(U64)
+            row = np.repeat(np.arange(len(doc)), sigs.value_lengths().to_numpy())
+            table = np.zeros((len(doc), 64), U64)
+            table[row, (flat & PART).astype(np.int64)] = flat
+            cut = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
+            found = []
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if sig[x] != now:
+                    found += close()
+                    now, held = int(sig[x]), []
+                held.append((doc[x:y], size[x:y], mine[x:y], table[x:y]))
+            if found:
+                yield batch_of(found)
+        if found := close():
+            yield batch_of(found)
+
+    return buckets.select("doc_id", "size", "mine", "sigs", "sig").mapInArrow(run, "a long, b long, tree boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,7 +317,7 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     pairs = stage(candidates(described.where("doc_id = rep").dropDuplicates(["doc_id", "key"]), threshold), "pairs")
     if pairs.isEmpty():
         return equal
-    near = verify(docs, pairs, components(pairs), n, threshold)
+    near = verify(docs, pairs.select("a", "b"), components(pairs.where("tree")), n, threshold)
     return near.unionByName(equal).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
