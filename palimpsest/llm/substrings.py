@@ -1,6 +1,7 @@
 """Substring dedup (operator 9): Rabin-Karp hashes of every fixed-length token window, counted in Spark.
 
-Every window of `width` tokens of every document gets a rolling polynomial hash (64 bits and 32 check bits).
+Every window of `width` tokens of every document has a rolling polynomial hash of 64 bits; equal windows
+agree on it and on the 64-bit hash of a part of theirs (below), by which they are partitioned.
 Windows that occur more than once are repeated; those that overlap or touch in a document merge
 into maximal intervals: `copy` = 'later' is what a dedup removes (windows that occur earlier, by doc_id and
 position), 'first' is where the first occurrences of repeated windows lie, which stay.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import load
-from .tokens import SQL_TOKENS, U64, Chunk, chunks, mix, windows
+from .tokens import SQL_TOKENS, U64, Chunk, chunks, windows
 
 WIDTH, GRAM = 50, 16
 
@@ -72,30 +73,74 @@ def anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
     return text_rows(docs).mapInArrow(run, "doc_id long, th long, at int, gram long")
 
 
-def candidate_windows(docs: DataFrame, spots: DataFrame, width: int, gram: int) -> DataFrame:
-    """(doc_id, th, pos, h, k): hashes of the windows whose selected gram is among the document's spots."""
+#: Windows of one selected position that travel in a row; their marks are bits of a long.
+SEGMENT = 60
+
+
+def candidate_segments(docs: DataFrame, spots: DataFrame, width: int, gram: int) -> DataFrame:
+    """(gram, doc_id, th, at, hashes): hashes of the windows from token `at` on that select the same one of the document's spots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, th, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             values, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             for c in chunks(batch.column(2)):
-                first, spot, _ = selected(c, width, gram)
-                if not len(first):
-                    continue
+                first, spot, whole = selected(c, width, gram)
                 mine = values[offsets[c.first] : offsets[c.first + c.n]]
                 owner = np.repeat(np.arange(c.n), np.diff(offsets[c.first : c.first + c.n + 1]))
                 wanted = np.zeros(len(c.hash), bool)
                 wanted[c.at[owner] + mine] = True
-                first = first[wanted[spot]]
+                hit = wanted[spot]
+                first, spot = first[hit], spot[hit]
+                if not len(first):
+                    continue
                 hashes, at = windows(c.hash, c.doc, width)
-                check, _ = windows(mix(c.hash ^ U64(0xA0761D6478BD642F)), c.doc, width, U64(0xE7037ED1A0B428DB))
-                where = np.searchsorted(at, first)
-                d = c.doc[first]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[c.first + d]), pa.array(th[c.first + d]), pa.array((first - c.at[d]).astype(np.int32)), pa.array(hashes[where].view(np.int64)), pa.array((check[where] >> U64(32)).astype(np.uint32).view(np.int32))], ["doc_id", "th", "pos", "h", "k"])
+                hashes = hashes[np.searchsorted(at, first)]
+                start = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1]]))
+                length = np.diff(np.concatenate([start, [len(spot)]]))
+                if length.max() > SEGMENT:
+                    run_ = np.arange(len(spot)) - np.repeat(start, length)
+                    start = np.flatnonzero(run_ % SEGMENT == 0)
+                d = c.doc[first[start]]
+                rows = pa.ListArray.from_arrays(pa.array(np.concatenate([start, [len(spot)]]).astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(whole[spot[start]].view(np.int64)), pa.array(ids[c.first + d]), pa.array(th[c.first + d]), pa.array((first[start] - c.at[d]).astype(np.int32)), rows], ["gram", "doc_id", "th", "at", "hashes"])
+
+    return text_rows(docs).join(spots, ["doc_id", "th"]).select("doc_id", "th", "text", "spots").mapInArrow(run, "gram long, doc_id long, th long, at int, hashes array<long>")
+
+
+def intervals(marks: DataFrame, width: int) -> DataFrame:
+    """(doc_id, th, copy, start_token, end_token) of windows marked by bits `first` and `later` from token `at` on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[int]] = {}  # the interval of each kind that may go on
+
+        def rows(kind: str, found: list) -> pa.RecordBatch:
+            doc, th, a, b = (np.concatenate(x) for x in zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array([kind] * len(doc)), pa.array(a), pa.array(b)], ["doc_id", "th", "copy", "start_token", "end_token"])
+
+        for batch in batches:
+            ids, ths, ats = (batch.column(i).to_numpy() for i in range(3))
+            for i, kind in ((3, "first"), (4, "later")):
+                bits = (batch.column(i).to_numpy()[:, None] >> np.arange(SEGMENT)) & 1
+                row, o = np.nonzero(bits)
+                doc, th, a = ids[row], ths[row], ats[row].astype(np.int64) + o
+                b = a + width
+                if kind in held:
+                    old = held.pop(kind)
+                    doc, th, a, b = (np.concatenate([[x], y]) for x, y in zip(old, (doc, th, a, b)))
+                if not len(doc):
+                    continue
+                start = np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (a[1:] > b[:-1])])
+                s = np.flatnonzero(start)
+                e = np.concatenate([s[1:], [len(doc)]]) - 1
+                held[kind] = [doc[e[-1]], th[e[-1]], a[s[-1]], b[e[-1]]]
+                if len(s) > 1:
+                    yield rows(kind, [(doc[s[:-1]], th[s[:-1]], a[s[:-1]], b[e[:-1]])])
+        for kind, (doc, th, a, b) in held.items():
+            yield rows(kind, [tuple(np.array([x]) for x in (doc, th, a, b))])
 
-    texts = text_rows(docs)
-    return texts.join(spots, ["doc_id", "th"]).select("doc_id", "th", "text", "spots").mapInArrow(run, "doc_id long, th long, pos int, h long, k int")
+    together = marks.repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", "at")
+    return together.mapInArrow(run, "doc_id long, th long, copy string, start_token long, end_token long")
 
 
 def repeated_intervals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -108,14 +153,15 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     # rows that repeat doc_id and text share a position, so they do not make a gram repeated
     spread = picked.withColumn("lo", F.min(F.struct("doc_id", "th", "at")).over(same)).withColumn("hi", F.max(F.struct("doc_id", "th", "at")).over(same))
     spots = spread.where("lo != hi").groupBy("doc_id", "th").agg(F.collect_set("at").alias("spots"))
-    found = candidate_windows(docs, spots, width, gram)
-    key = Window.partitionBy("h", "k")
-    place = F.struct("doc_id", "th", "pos")
-    counted = found.select("doc_id", "th", "pos", F.min(place).over(key).alias("lo"), F.max(place).over(key).alias("hi"), place.alias("me")).where("lo != hi")
-    marked = counted.select("doc_id", "th", "pos", F.when(F.col("me") == F.col("lo"), "first").otherwise("later").alias("copy"))
-    by = Window.partitionBy("doc_id", "th", "copy").orderBy("pos")
-    islands = marked.withColumn("new", (F.col("pos") > F.lag("pos").over(by) + width).cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(by))
-    return islands.groupBy("doc_id", "th", "copy", "island").agg(F.min("pos").alias("start_token"), (F.max("pos") + width).alias("end_token")).drop("island")
+    # equal windows have equal grams: everything from here to the marks happens on one partitioning by gram
+    segments = candidate_segments(docs, spots, width, gram).repartition("gram").dropDuplicates(["gram", "doc_id", "th", "at"])
+    each = segments.select("gram", "doc_id", "th", "at", F.posexplode("hashes").alias("o", "h"))
+    order = Window.partitionBy("gram", "h").orderBy("doc_id", "th", F.col("at") + F.col("o"))
+    counted = each.withColumn("nth", F.row_number().over(order)).withColumn("more", F.lead(F.lit(True)).over(order))
+    bit = F.expr("shiftleft(1L, o)")
+    later, first = F.when(F.col("nth") > 1, bit).otherwise(F.lit(0)), F.when((F.col("nth") == 1) & F.col("more").isNotNull(), bit).otherwise(F.lit(0))
+    marks = counted.groupBy("gram", "doc_id", "th", "at").agg(F.bit_or(first).alias("first"), F.bit_or(later).alias("later")).where("first != 0 OR later != 0")
+    return intervals(marks.select("doc_id", "th", "at", "first", "later"), width)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
