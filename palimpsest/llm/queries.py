@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from .decontaminate import op3_benchmark_decontamination
 from .jaccard import op5_ngram_jaccard_join, pairs_sql
+from .langid import op1_language_id
 from .lines import op10_line_dedup, runs_sql
+from .mixing import op2_source_mixing
 from .substrings import intervals_sql, op9_substring_dedup
+from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op5_ngram_jaccard_join, op9_substring_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_benchmark_decontamination, op5_ngram_jaccard_join, op7_toxicity, op9_substring_dedup, op10_line_dedup)}
 ORACLES = {"op5_ngram_jaccard_join": pairs_sql(), "op9_substring_dedup": intervals_sql(), "op10_line_dedup": runs_sql()}
