@@ -1,7 +1,61 @@
-"""Training-corpus pipeline; its stages follow."""
-STAGES = []
+"""Training-corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+1. language ID: documents whose language is ambiguous or unknown go
+2. line dedup: later copies of repeated line runs are deleted from the texts
+3. n-gram Jaccard join: one document of each group of near duplicates stays, the one of the least doc_id
+4. benchmark decontamination: documents that hold a benchmark item go
+5. source mixing: the rest is packed into blocks and drawn to target weights
+
+All stages but the last return the columns of documents. SQL cannot express the stages (trained
+classifier, SimHash, Feistel permutations), so ORACLE_SQL is None; tests hold every stage against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from palimpsest.llm.common import load, stage
+from palimpsest.llm.decontaminate import decontaminated
+from palimpsest.llm.jaccard import one_of_each_group
+from palimpsest.llm.langid import identified_only, train
+from palimpsest.llm.lines import line_dedup
+from palimpsest.llm.mixing import mix_sources
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return identified_only(docs, train(docs))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each_group(docs)
+
+
+def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminated(docs, load(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_sources(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", repeated_lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark_items),
+    ("source_mixing", source_mixing),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for k, (name, apply) in enumerate(STAGES):
+        docs = apply(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stage(docs, name)
+    return docs
