@@ -11,7 +11,9 @@ common shingles. Where k is large, P is smaller: the least for which two sets ex
 threshold share fewer signatures with a probability of 1e-3 at most (more similar ones: far less). Groups
 with r above FEATURES enumerate signatures over a hash-chosen part 2**-j of the shingle domain, the same for all
 sets of the group, so the signatures of a set do not grow with its text. All pairs that
-share s signatures are candidates; all candidates are verified on their whole sets.
+share s signatures and do not differ too much in a sketch are candidates; all candidates are verified on their whole sets.
+The sketch has SKETCH min-hash bits of a set's part of the shingle domain: two sets at the threshold agree on them far more often
+than sets that share a signature by chance; the least agreement asked for is 4.5 standard deviations below what a pair at the threshold has.
 
 Sets that are equal are one set in the search; each further document with that set is reported
 with the first one (similarity 1), so nothing about them is lost and the result stays linear in copies.
@@ -39,6 +41,9 @@ from .tokens import SQL_TOKENS, U64, Chunk, chunks, mix
 N, THRESHOLD, FEATURES, MISS, TILE, SHARED_FROM = 2, 0.7, 128, 1e-3, 3000, 18
 #: Bits of the candidates' Bloom filter: its size does not depend on the data, a full one just lets more rows through.
 BLOOM_BITS = 23
+#: Bits of the sketch that tells candidates from sets that share a signature by chance.
+SKETCH = 128
+_KEYS = mix(np.arange(1, 2 * SKETCH + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).astype(np.uint32).reshape(2, SKETCH)
 #: The low bits of a signature name its partition.
 PART = U64(63)
 
@@ -95,13 +100,31 @@ def shingle_sets(c: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(doc, np.arange(c.n + 1))
 
 
-def signatures(grams: np.ndarray, doc: np.ndarray, group: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, document) of every non-empty partition; group: of each document."""
+def sketches(grams: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
+    """SKETCH one-bit min-hashes of each of `count` documents, packed; doc is ascending."""
+    out = np.zeros((count, SKETCH), bool)
+    if len(doc):
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        values = (grams >> U64(32)).astype(np.uint32)
+        for i in range(SKETCH):
+            least = np.minimum.reduceat((values ^ _KEYS[0, i]) * (_KEYS[1, i] | np.uint32(1)), first)
+            out[doc[first], i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.packbits(out, axis=1)
+
+
+def least_agreement(threshold: float) -> int:
+    """Bits of the sketch on which two sets at the threshold agree, less 4.5 standard deviations."""
+    p = (1 + threshold) / 2
+    return math.floor(SKETCH * (p - 4.5 * math.sqrt(p * (1 - p) / SKETCH + threshold * (1 - threshold) / (4 * 0.75 * FEATURES))))
+
+
+def signatures(grams: np.ndarray, doc: np.ndarray, group: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document) of every non-empty partition, and the documents' sketches; group: of each document."""
     g = group[doc]
     sampled = (mix(grams ^ U64(0x5851F42D4C957F2D)) & ((U64(1) << bands.shift[g]) - U64(1))) == 0
     grams, doc, g = grams[sampled], doc[sampled], g[sampled]
     if not len(grams):
-        return np.empty(0, U64), np.empty(0, np.int64)
+        return np.empty(0, U64), np.empty(0, np.int64), sketches(grams, doc, len(group))
     scattered = mix(grams ^ U64(0x14057B7EF767814F))
     part = (scattered >> U64(32)) % bands.parts[g]
     key = doc * 4096 + part.astype(np.int64)
@@ -111,14 +134,14 @@ def signatures(grams: np.ndarray, doc: np.ndarray, group: np.ndarray, bands: Ban
     content = np.add.reduceat(scattered[order], first, dtype=U64)
     d = key[first] // 4096
     p = (key[first] % 4096).astype(U64)
-    return (mix(content ^ mix((group[d].astype(U64) << U64(20)) + p)) & ~PART) | p, d
+    return (mix(content ^ mix((group[d].astype(U64) << U64(20)) + p)) & ~PART) | p, d, sketches(grams, doc, len(group))
 
 
-SETS = "doc_id long, key long, size long, own array<long>, also array<long>"
+SETS = "doc_id long, key long, size long, own array<long>, also array<long>, own_bits binary, also_bits binary"
 
 
 def describe(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """SETS: of each document the hash of its set, its size, the signatures in its own and in the next group."""
+    """SETS: of each document the hash of its set, its size, the signatures and the sketch in its own and in the next group."""
     bands = Bands(threshold)
 
     def lists(values: np.ndarray, doc: np.ndarray, count: int) -> pa.Array:
@@ -134,8 +157,10 @@ def describe(docs: DataFrame, n: int, threshold: float) -> DataFrame:
                 total = np.concatenate([[U64(0)], np.cumsum(mix(grams.copy()), dtype=U64)])
                 key = mix((total[at[1:]] - total[at[:-1]]) ^ size.astype(U64))
                 band = bands.of(size)
-                own, also = (lists(*signatures(grams, doc, band + up, bands), c.n) for up in (0, 1))
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(key.view(np.int64)), pa.array(size), own, also], ["doc_id", "key", "size", "own", "also"])
+                own, also = (signatures(grams, doc, band + up, bands) for up in (0, 1))
+                ends = pa.py_buffer((np.arange(c.n + 1) * (SKETCH // 8)).astype(np.int32))
+                bits = [pa.Array.from_buffers(pa.binary(), c.n, [None, ends, pa.py_buffer(x[2])]) for x in (own, also)]
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(key.view(np.int64)), pa.array(size), *(lists(x[0], x[1], c.n) for x in (own, also)), *bits], ["doc_id", "key", "size", "own", "also", "own_bits", "also_bits"])
                 yield out.filter(pa.array(size > 0))
 
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
@@ -157,15 +182,23 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
         return reps.select("doc_id", "size", F.lit(mine).alias("mine"), F.explode(column).alias("sig"))
 
     rows = group_rows("own", True).unionByName(group_rows("also", False))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1")
-    held = rows.groupBy("doc_id", "size", "mine").agg(F.collect_list("sig").alias("sigs")).where((F.size("sigs") > 1) | (F.col("size") < two))
-    buckets = held.select("doc_id", "size", "mine", "sigs", F.explode("sigs").alias("sig")).repartition("sig").sortWithinPartitions("sig", "doc_id")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1").select("doc_id", "size", "mine", "sig", F.lit(None).cast("binary").alias("bits"))
+    for column, mine in (("own", True), ("also", False)):  # the sketches join in the grouping, not in the shuffle by signature
+        rows = rows.unionByName(reps.select("doc_id", "size", F.lit(mine).alias("mine"), F.lit(None).cast("long").alias("sig"), F.col(f"{column}_bits").alias("bits")))
+    held = rows.groupBy("doc_id", "size", "mine").agg(F.collect_list("sig").alias("sigs"), F.max("bits").alias("bits")).where((F.size("sigs") > 1) | ((F.size("sigs") > 0) & (F.col("size") < two)))
+    # of the other signatures 32 bits are sent, which still name their partition
+    short = F.transform("sigs", lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int"))
+    buckets = held.select("doc_id", "size", "mine", "bits", short.alias("others"), F.explode("sigs").alias("sig")).repartition("sig").sortWithinPartitions("sig", "doc_id")
+
+    agree = least_agreement(threshold)
 
-    def pairs_of(sig: int, doc: np.ndarray, size: np.ndarray, mine: np.ndarray, table: np.ndarray) -> Iterator[tuple]:
+    def pairs_of(sig: int, doc: np.ndarray, size: np.ndarray, mine: np.ndarray, bits: np.ndarray, table: np.ndarray) -> Iterator[tuple]:
         """table: a row of signatures by partition for each set of the bucket, 0 where there is none."""
         part, label = sig & 63, np.arange(len(doc))
         for i in range(len(doc) - 1):
             rest = np.flatnonzero((mine[i + 1 :] | mine[i]) & (np.minimum(size[i + 1 :], size[i]) >= least * np.maximum(size[i + 1 :], size[i]) - 1e-6) & (doc[i + 1 :] != doc[i])) + i + 1
+            if len(rest):
+                rest = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1) <= SKETCH - agree]
             if not len(rest):
                 continue
             same = (table[rest] == table[i]) & (table[i] != 0)
@@ -187,8 +220,7 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
         def close() -> list[tuple]:
             if sum(len(h[0]) for h in held) < 2:
                 return []
-            doc, size, mine, table = (np.concatenate(x) for x in zip(*held))
-            return list(pairs_of(now, doc, size, mine, table))
+            return list(pairs_of(now, *(np.concatenate(x) for x in zip(*held))))
 
         def batch_of(found: list[tuple]) -> pa.RecordBatch:
             low, high, tree = (np.concatenate(x) for x in zip(*found))
@@ -197,25 +229,26 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc, size, mine, sigs, sig = (batch.column(i) for i in range(5))
+            doc, size, mine, bits, sigs, sig = (batch.column(i) for i in range(6))
             doc, size, sig, mine = doc.to_numpy(), size.to_numpy(), sig.to_numpy(), mine.to_numpy(zero_copy_only=False)
-            flat = sigs.flatten().to_numpy().view(U64)
+            bits = np.frombuffer(bits.buffers()[2], U64).reshape(-1, SKETCH // 64)[bits.offset : bits.offset + len(bits)]
+            flat = (sigs.flatten().to_numpy().astype(np.int64) + (1 << 31)).astype(np.uint32)
             row = np.repeat(np.arange(len(doc)), sigs.value_lengths().to_numpy())
-            table = np.zeros((len(doc), 64), U64)
-            table[row, (flat & PART).astype(np.int64)] = flat
+            table = np.zeros((len(doc), 64), np.uint32)
+            table[row, (flat & np.uint32(63)).astype(np.int64)] = flat
             cut = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
             found = []
             for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 if sig[x] != now:
                     found += close()
                     now, held = int(sig[x]), []
-                held.append((doc[x:y], size[x:y], mine[x:y], table[x:y]))
+                held.append((doc[x:y], size[x:y], mine[x:y], bits[x:y], table[x:y]))
             if found:
                 yield batch_of(found)
         if found := close():
             yield batch_of(found)
 
-    return buckets.select("doc_id", "size", "mine", "sigs", "sig").mapInArrow(run, "a long, b long, tree boolean")
+    return buckets.select("doc_id", "size", "mine", "bits", "others", "sig").mapInArrow(run, "a long, b long, tree boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
