@@ -83,14 +83,16 @@ def decompose_for_change(delta: DataFrame) -> DataFrame:
     """As decompose_for_input, for the inline diff: deletes do not shift, but rest adds pass over the run of first deletes below them."""
     adds = _before(F.when(F.col("first") & (F.col("op") == "+"), 1).otherwise(0))
     first_add = F.max(F.col("first") & (F.col("op") == "+")).over(Window.partitionBy("id", "line"))
-    rows = delta.withColumns({"_adds": adds, "_add_here": first_add})
+    # adds above a first add of their own line stay with it
+    last_add = F.max(F.when(F.col("first") & (F.col("op") == "+"), F.col("act"))).over(Window.partitionBy("id", "line"))
+    rows = delta.withColumns({"_adds": adds, "_add_here": first_add, "_free": F.coalesce(F.col("act") > last_add, F.lit(True))})
     # a run: lines whose delete is in the first part, one after another, cut before lines with a first add
     dels = rows.where("first AND op = '-'").select("id", "line", "_add_here")
     new = F.when((F.col("line") == F.lag("line").over(_by("line")) + 1) & ~F.col("_add_here"), 0).otherwise(1)
     dels = dels.withColumn("_new", new).withColumn("_run", F.sum("_new").over(_by("line")))
     ends = dels.withColumn("_end", F.max("line").over(Window.partitionBy("id", "_run"))).select("id", "line", (F.col("_end") - F.col("line") + 1).alias("_ride"))
     out = rows.join(ends, ["id", "line"], "left")
-    return out.withColumn("new_line", F.when(F.col("first"), F.col("line")).otherwise(F.col("line") + F.col("_adds") + F.coalesce("_ride", F.lit(0)))).drop("_adds", "_add_here", "_ride")
+    return out.withColumn("new_line", F.when(F.col("first"), F.col("line")).otherwise(F.col("line") + F.col("_adds") + F.when(F.col("_free"), F.coalesce("_ride", F.lit(0))).otherwise(0))).drop("_adds", "_add_here", "_free", "_ride")
 
 
 def new_line_ids(lines: DataFrame, delta: DataFrame, edited: F.Column) -> DataFrame:
