@@ -51,7 +51,7 @@ def strength(groups: DataFrame, mean: str) -> DataFrame:
     extra = F.sum(F.col(mean) * (1 - F.col(mean)) * (F.col("n") - 1))
     row = seen.agg(moved.alias("moved"), level.alias("level"), extra.alias("extra"))
     over = F.col("moved") - F.col("level")
-    return row.select(F.when(over > 0, F.greatest(F.lit(LEAST_STRENGTH), F.least(F.lit(MOST_STRENGTH), F.col("extra") / over - 1))).otherwise(F.lit(MOST_STRENGTH)).alias("m"))
+    return row.select(F.when(F.col("moved").isNull(), LEAST_STRENGTH).when(over > 0, F.greatest(F.lit(LEAST_STRENGTH), F.least(F.lit(MOST_STRENGTH), F.col("extra") / over - 1))).otherwise(F.lit(MOST_STRENGTH)).alias("m"))
 
 
 def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def reputation_sql(z: float = Z, worst: float = WORST) -> str:
 
     def shrunk(name: str, source: str, up: str) -> str:
         return f"""{name}_up AS ({up}),
-    {name}_m AS (SELECT CASE WHEN moved - lev > 0 THEN greatest({LEAST_STRENGTH}::DOUBLE, least({MOST_STRENGTH}::DOUBLE, extra / (moved - lev) - 1)) ELSE {MOST_STRENGTH}::DOUBLE END AS m FROM
+    {name}_m AS (SELECT CASE WHEN moved IS NULL THEN {LEAST_STRENGTH}::DOUBLE WHEN moved - lev > 0 THEN greatest({LEAST_STRENGTH}::DOUBLE, least({MOST_STRENGTH}::DOUBLE, extra / (moved - lev) - 1)) ELSE {MOST_STRENGTH}::DOUBLE END AS m FROM
         (SELECT sum(n * (bad / n - up) * (bad / n - up)) AS moved, sum(up * (1 - up)) AS lev, sum(up * (1 - up) * (n - 1)) AS extra FROM {name}_up WHERE n > 0)),
     {name}_e AS (SELECT u.*, m, (m * up + bad) / (m + n) AS est FROM {name}_up u, {name}_m)"""
 
