@@ -13,6 +13,7 @@ from palimpsest.operators import delta as D
 from palimpsest.operators import retrieval as R
 from palimpsest.operators import scopes as P
 from palimpsest.operators import stats as S
+from palimpsest.plans import changes as plans
 from palimpsest.sources import history as H
 from palimpsest.streaming import online as O
 
@@ -113,6 +114,29 @@ def test_code():
     assert [keystrokes(a, b) for a, b in (("", ""), ("abc", "abc"), ("", "ab"), ("abc", "ab"), ("abcdef", ""))] == [0, 0, 2, 3, 2]
 
 
+def by_turn(spark, tmp_path, query, texts):
+    """Rows by turn of a query over one conversation of these texts."""
+    rows = [(1, k, "user", t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    return {r.turn: r for r in query(spark, str(tmp_path)).collect()}
+
+
+def test_levenshtein_gain_of_whole_texts(spark, tmp_path):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+        return row[-1]
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abc é\n") for _ in range(rng.randrange(250, 400))) for _ in range(6)]
+    texts += ["a" * 300 + "é", "a" * 300 + "e", "", "日本"]
+    got = by_turn(spark, tmp_path, plans.levenshtein_gain, texts)
+    assert {k: r.gain for k, r in got.items()} == {k: distance(texts[k - 1], texts[k]) for k in range(1, len(texts))}
+
+
 def test_code_equal(spark):
     df = spark.createDataFrame([("f(a=1,b=2)", "f(b=2, a=1)"), ("x", "y")], "a string, b string")
     assert [r[0] for r in df.select(code_equal(F.col("a"), F.col("b"))).collect()] == [True, False]
