@@ -86,7 +86,6 @@ def line_diff(spark, sf_dir):
 
 @query()
 def keystroke_gain(spark, sf_dir):
-    """Keystrokes from each version's first line to the next one's."""
-    first = lambda c: F.left(F.split(c, "\n")[0], F.lit(40))  # noqa: E731  the cost is quadratic: a line's first 40 characters
+    """Keystrokes from each version's whole text to the next one's."""
     rows = C.version_pairs(versions(spark, sf_dir)).where("before IS NOT NULL")
-    return rows.select(F.col("project").alias("conv_id"), F.col("path").alias("role"), F.col("seq").alias("turn"), keystroke_cost(first("before"), first("after")).alias("keystrokes"))
+    return rows.select(F.col("project").alias("conv_id"), F.col("path").alias("role"), F.col("seq").alias("turn"), keystroke_cost("before", "after").alias("keystrokes"))

@@ -1,4 +1,5 @@
 import datetime
+import functools
 import random
 import subprocess
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.functions.code import code_equal, keystrokes, normalized
+from palimpsest.functions.code import block_keystrokes, code_equal, keystrokes, normalized
 from palimpsest.functions.diff import line_diffs
 from palimpsest.operators import changes as C
 from palimpsest.operators import delta as D
@@ -137,6 +138,41 @@ def test_levenshtein_gain_of_whole_texts(spark, tmp_path):
     assert {k: r.gain for k, r in got.items()} == {k: distance(texts[k - 1], texts[k]) for k in range(1, len(texts))}
 
 
+def typed(a, b, jump=4):
+    """Keystrokes by the rules, cell by cell."""
+
+    @functools.cache
+    def cost(i, j, c, gone):
+        if i < 0 or j < 0:
+            return 10**6
+        if i == j == 0 and not gone:
+            return 0
+        far = min(c + 1, jump)
+        if gone:
+            return min(cost(i - 1, j, far, True), 1 + c + cost(i, j, 0, False) if c else 10**6)
+        least = min(cost(i - 1, j, 0, False), cost(i, j - 1, 0, False), cost(i, j, 0, True)) + 1 + c
+        return min(least, cost(i - 1, j - 1, far, False)) if i and j and a[-i] == b[-j] else least
+
+    return cost(len(a), len(b), jump, False)
+
+
+def test_block_keystrokes():
+    cases = {("", ""): 0, ("abc", "abc"): 0, ("", "abc"): 7, ("abc", ""): 7, ("abc", "abcd"): 5, ("abc", "aabc"): 5, ("abc", "axc"): 6, ("abc", "axdf"): 9, ("abc", "xaxbc"): 7, ("abcdefg", "axbcdefxg"): 10, ("abcdefg", "xaxbxcxdxefg"): 13, ("abcdefg", "xbxdxfx"): 15, ("abcdefg", "axxxxfg"): 12, ("abcde", "acde"): 5, ("a" * 100, ""): 10, ("a" * 30 + "b" * 20 + "c" * 30, "a" * 30 + "c" * 30): 10}
+    assert block_keystrokes(list(cases)) == list(cases.values())
+    rng = random.Random(8)
+    pairs = [tuple("".join(rng.choice("abé\n") for _ in range(rng.randrange(25))) for _ in range(2)) for _ in range(300)]
+    assert block_keystrokes(pairs) == [typed(a, b) for a, b in pairs]
+    assert block_keystrokes([("x" * 4000, "y" * 3500), ("a", "b")]) == [block_keystrokes([("x" * 4000, "y" * 3500)])[0], 6]
+
+
+def test_keystroke_gain_of_whole_texts(spark, tmp_path):
+    long = "x" * 60
+    texts = ["one\ntwo\nthree", "one\nzwei\nthree", "one\nzwei", "one\nzwei\nfour\nfive", long + "a\nend", long + "b\nend", long + "b\nend"]
+    got = by_turn(spark, tmp_path, plans.keystroke_gain, texts)
+    assert [got[k].keystrokes for k in (1, 2, 3, 5, 6)] == [typed("two", "zwei"), 2 + 4, 9 + 4, typed(long + "a", long + "b"), 0]
+    assert got[4].keystrokes == typed(texts[3], texts[4])
+
+
 def test_code_equal(spark):
     df = spark.createDataFrame([("f(a=1,b=2)", "f(b=2, a=1)"), ("x", "y")], "a string, b string")
     assert [r[0] for r in df.select(code_equal(F.col("a"), F.col("b"))).collect()] == [True, False]
