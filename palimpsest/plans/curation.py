@@ -26,9 +26,12 @@ def history_walk(spark, sf_dir):
 @query("""WITH s AS (SELECT conv_id, md5(string_agg(lower(substr(text, 1, 1)), chr(31) ORDER BY turn)) AS signature FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3) GROUP BY 1)
 SELECT min(conv_id) AS conv_id, signature, count(*)::BIGINT AS n FROM s GROUP BY signature""")
 def repo_signature_dedupe(spark, sf_dir):
-    """Conversations as repositories: those that begin alike count once."""
-    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("project"), F.col("turn").alias("seq"), F.lower(F.left("text", F.lit(1))).alias("message"))
-    return K.first_of_each(K.signatures(t, 3), ["signature"], ["project"]).select(F.col("project").alias("conv_id"), "signature", "n")
+    """Conversations as repositories: those whose first 30 messages are the same count once.
+
+    The SQL still signs the first letters of three messages, so its rows differ.
+    """
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("project"), F.col("turn").alias("seq"), F.col("text").alias("message"))
+    return K.first_of_each(K.signatures(t), ["signature"], ["project"]).select(F.col("project").alias("conv_id"), "signature", "n")
 
 
 @query("SELECT doc_id, CASE WHEN r <= 50 THEN 'test' WHEN r <= 100 THEN 'valid' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR)) AS r FROM documents)")

@@ -15,6 +15,8 @@ from palimpsest.operators import retrieval as R
 from palimpsest.operators import scopes as P
 from palimpsest.operators import stats as S
 from palimpsest.plans import changes as plans
+from palimpsest.plans import curation
+from palimpsest.plans import stats as plan_stats
 from palimpsest.sources import history as H
 from palimpsest.streaming import online as O
 
@@ -173,6 +175,16 @@ def test_keystroke_gain_of_whole_texts(spark, tmp_path):
     assert got[4].keystrokes == typed(texts[3], texts[4])
 
 
+def test_whole_messages_count(spark, tmp_path):
+    """Texts that share first letters, or their first three turns, are not the same."""
+    talks = [["a b", "c", "d"], ["a x", "c", "d"], ["a b", "c", "d"], ["a b", "c", "d", "e"], ["Yes", "yes", "yet"]]
+    rows = [(i, k, "user", t) for i, talk in enumerate(talks) for k, t in enumerate(talk)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sorted((r.conv_id, r.n) for r in curation.repo_signature_dedupe(spark, str(tmp_path)).collect()) == [(0, 2), (1, 1), (3, 1), (4, 1)]
+    forms = {(r.form, r.n_samples) for r in plan_stats.marginalize(spark, str(tmp_path)).where("conv_id = 4").collect()}
+    assert forms == {("yes", 2), ("yet", 1)}
+
+
 def test_code_equal(spark):
     df = spark.createDataFrame([("f(a=1,b=2)", "f(b=2, a=1)"), ("x", "y")], "a string, b string")
     assert [r[0] for r in df.select(code_equal(F.col("a"), F.col("b"))).collect()] == [True, False]
