@@ -8,10 +8,11 @@ them. Candidates are then compared exactly: weighted Jaccard similarity of the s
 at least `threshold`. A shingle weighs ln(1 + items / items that hold it); one that no item holds
 weighs as one that a single item holds.
 
-Before hashing, windows are left out whose weight of shingles known to any item is under `threshold`
-of their whole weight: similarity with any item cannot be above that share, so nothing that could
-be verified is lost. The benchmark travels with the tasks in slices of at most `items_per_pass` items;
-a larger one takes several passes over the documents, so the broadcast size is bounded.
+Before hashing, windows are left out whose weight of shingles known to any item of the slice is under `threshold`
+of their whole weight: similarity with one of them cannot be above that share, so nothing that could
+be verified is lost. The benchmark is searched in slices of at most `items_per_pass` items, a larger one
+in several passes over the documents. Every slice has the weights of all the benchmark's shingles, so
+hits do not depend on the slicing; the weights travel with each slice and grow with the benchmark.
 
 Defined cases: null or empty texts and items have no windows and no hits; an item of fewer than
 `shingle` tokens uses shingles of its own length; documents shorter than an item cannot hold it; of
@@ -62,7 +63,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, weight: dict[int, float], oth
 
 
 class Items:
-    """A slice of the benchmark, indexed for search."""
+    """A slice of the benchmark, indexed for search; df is of the whole benchmark."""
 
     def __init__(self, ids: list[int], texts: list[str], total: int, df: dict[int, dict[int, int]], radius: int, threshold: float, shingle: int):
         self.ids, self.radius, self.threshold = ids, radius, threshold
@@ -79,8 +80,9 @@ class Items:
         self.weight = {k: {s: math.log1p(total / d) for s, d in df.get(k, {}).items()} for k in self.groups}
         self.known, self.filter = {}, {}
         for k, by in self.groups.items():
-            here = np.unique(np.concatenate([self.shingles[i] for g in by.values() for i in g]))
-            self.known[k] = (here, np.array([self.weight[k][s] for s in here.tolist()]))
+            here = np.array(sorted(self.weight[k]), U64)
+            own = np.isin(here, np.concatenate([self.shingles[i] for g in by.values() for i in g]))
+            self.known[k] = (here, np.array([self.weight[k][s] for s in here.tolist()]), own)
             self.filter[k] = np.zeros(1 << max(16, (len(here) * 16).bit_length()), bool)
             self.filter[k][here & U64(len(self.filter[k]) - 1)] = True
         self.prints, self.blocks = {}, {}
@@ -94,7 +96,7 @@ class Items:
                     self.blocks[k, n, b] = (low, bits, value[order], order)
 
     def _weights(self, k: int, rows: np.ndarray) -> np.ndarray:
-        here, w = self.known[k]
+        here, w, _ = self.known[k]
         at = np.searchsorted(here, rows).clip(0, len(here) - 1)
         return np.where(here[at] == rows, w[at], self.other)
 
@@ -105,14 +107,14 @@ class Items:
             if not len(at):
                 continue
             maybe = np.flatnonzero(self.filter[k][grams & U64(len(self.filter[k]) - 1)])
-            here, w = self.known[k]
+            here, w, own = self.known[k]
             spot = np.searchsorted(here, grams[maybe]).clip(0, len(here) - 1)
             hit = here[spot] == grams[maybe]
             maybe, spot = maybe[hit], spot[hit]
             if not len(maybe):
                 continue
             shared, whole = np.zeros(len(grams)), np.full(len(grams), self.other)
-            shared[maybe] = w[spot]
+            shared[maybe] = np.where(own[spot], w[spot], 0.0)
             whole[maybe] = w[spot]
             sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (shared - self.threshold * whole,)][0]
             doc = c.doc[at]

@@ -79,6 +79,19 @@ def test_decontamination(spark, docs, empty, rows):
     assert decontaminate.contamination(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_does_not_depend_on_slices(spark):
+    """A near copy whose changed words are common in other slices."""
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    p, q = words("p", 8), words("q", 8)
+    items = [(0, words("u", 20) + " " + p)] + [(i, f"{words(f'v{i}x', 12)} {p} {q}") for i in range(1, 40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    near = spark.createDataFrame([(1, f"before {words('u', 20)} {q} after"), (2, items[7][1]), (3, p)], "doc_id long, text string")
+    found = [sorted(map(tuple, decontaminate.contamination(near, bench, items_per_pass=n).collect())) for n in (100, 7, 1)]
+    assert [h[:2] for h in found[0]] == [(1, 0), (2, 7)] and 0.7 <= found[0][0][5] < 0.8
+    assert found[1] == found[0] and found[2] == found[0]
+    assert [r.doc_id for r in decontaminate.decontaminated(near, bench, items_per_pass=7).collect()] == [3]
+
+
 def test_pii(spark, docs, empty):
     text = 'Pay 4111 1111 1111 1111 or 4111111111111111, not 4111111111111112; +1 (803) 555-5351 on 2024-02-29 = 29.02.2024 = 02/29/2024, 13/13/2024, 123-45-6789, 8.8.8.8, 10.1.2.3, 999.1.1.1, ab.34@mail7.example.com, DE89 3704 0044 0532 0130 00, token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
     new, kinds = pii.replaced(text)
