@@ -90,6 +90,13 @@ class Chunk:
         sums = np.zeros(len(data) + 1, U64)
         np.cumsum(folded * up[: len(data)], dtype=U64, out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+        self._sums, self._down = sums, down
+
+    def beginnings(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first k bytes of all tokens that have as many, and the tokens."""
+        at = np.flatnonzero(self.end - self.start >= k)
+        begin = self.start[at]
+        return mix(((self._sums[begin + k] - self._sums[begin]) * self._down[begin] + U64(k)) ^ U64(0x6C62272E07BB0142)), at
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k-token windows inside one document, and the token each starts at."""

@@ -171,6 +171,33 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.train(empty) is None
 
 
+def test_toxicity_learns_from_labels(spark):
+    """Stems that no written lexicon has, held out: labels of even documents, recall on odd ones by language; copies bring no words in."""
+    rng = random.Random(16)
+    stems, rows = {"de": "grumpf", "fr": "zorvan", "xx": "klimto"}, []
+    for i in range(1800):
+        lang = ("de", "fr", "xx")[i % 3]
+        words = document(rng, lang if lang != "xx" else "en", 30).split()
+        bad = rng.random() < 0.2
+        if bad:
+            words.insert(rng.randrange(30), stems[lang] + rng.choice(["a", "en", "ist", "o", "ung"]))
+        rows.append((i, " ".join(words), lang, int(bad)))
+    copied = next(r for r in rows if r[3] and not r[0] % 2)
+    rows += [(2000 + 2 * k, copied[1], copied[2], 1) for k in range(60)] + [(3000, None, "de", 1), (3001, "", "fr", 0), (3002, "grumpfa", None, None), (3003, rows[0][1] * 3000, "de", None)]
+    docs = spark.createDataFrame([(*r[:3], 7) for r in rows], "doc_id long, text string, lang string, target int")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows if r[0] % 2 == 0 and r[0] < 3000] + [(3000, 1), (None, 1), (9999, 1), (1, None)], "doc_id long, toxic int")
+    learnt, languages, _ = toxicity.learnt_lexicons(docs, labels)
+    assert {"de", "fr", "xx"} <= set(languages) and all(len(v) <= 8 for v in learnt.values())
+    model = toxicity.train(docs, labels)
+    hits = {r.doc_id for r in toxicity.toxic(docs, model).collect()}
+    for lang in stems:
+        held = {r[0] for r in rows if r[0] % 2 and r[0] < 2000 and r[2] == lang}
+        bad = {r[0] for r in rows if r[0] in held and r[3]}
+        assert len(bad & hits) >= 0.9 * len(bad) and len(hits & held - bad) <= 0.02 * len(held)
+    assert 3002 in hits and not hits & {3000, 3001}
+    assert toxicity.learnt_lexicons(docs, labels.where("false"))[0] == {}
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(i, f"https://h{i % 2}.site{i % 3}.com/p{i}", "x") for i in range(60)] + [(100, None, "x"), (101, "no host", "x"), (102, "http://User@H0.site0.com:80/", "x"), (103, "http://new.site1.com/", "x")], "page_id long, url string, n string")
     labels = spark.createDataFrame([(i, 0 if i % 3 == 1 else 1, 0) for i in range(60)] + [(200, 0, 1), (0, None, None)], "doc_id long, quality int, toxic int")
