@@ -111,7 +111,7 @@ class Lexicon:
         self.languages = set(languages)
         self.voters = [*WRITTEN, *learnt]
         self.known = Known(np.concatenate([*learnt.values(), np.empty(0, np.int64)]))
-        self.learnt = np.array([np.isin(self.known.values, v) for v in learnt.values()]).reshape(len(learnt), -1)
+        self.learnt = np.array([np.isin(self.known.values, v) for v in learnt.values()]).reshape(len(learnt), len(self.known.values))
 
     def votes(self, c: Chunk, languages: list[str | None] | None = None) -> np.ndarray:
         """Votes of every voter on each document of the chunk: 1 toxic, -1 clean, 0 nothing."""
