@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, stage
+from .common import load, stage, unused
 from .tokens import SQL_TOKENS, U64, Chunk, chunks, mix
 
 N, THRESHOLD, FEATURES, MISS, TILE, SHARED_FROM = 2, 0.7, 128, 1e-3, 3000, 18
@@ -341,40 +341,71 @@ def verify(docs: DataFrame, pairs: DataFrame, member: DataFrame, n: int, thresho
     return rows.mapInArrow(run, PAIRS)
 
 
+MEMBERS = "doc_id long, class_id long, n_copies long"
+
+
+def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """MEMBERS and PAIRS: the class of equal sets that each document is in, named by its least doc_id, with the number of
+    its other documents; and the similar pairs of class names, doc_a < doc_b. A document with several versions is in the class of each."""
+    described = stage(describe(docs, n, threshold), "sets")
+    # one hot class is one row here; AQE splits its rows in the join
+    shared = described.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("n")).where("n > 1")
+    sets = stage(described.join(shared, "key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")).withColumn("n", F.coalesce("n", F.lit(1))), "classes")
+    members = sets.select("doc_id", "class_id", (F.col("n") - 1).alias("n_copies")).distinct()
+    reps = sets.where("doc_id = class_id").dropDuplicates(["doc_id", "key"])
+    pairs = stage(candidates(reps, threshold), "pairs")
+    if pairs.isEmpty():
+        return members, docs.sparkSession.createDataFrame([], PAIRS)
+    return members, stage(verify(docs, pairs.select("a", "b"), components(pairs.where("tree")), n, threshold), "near")
+
+
 def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """PAIRS, doc_a < doc_b: similar documents; of documents with equal sets the least stands for all and is paired with each."""
-    spark = docs.sparkSession
-    described = describe(docs, n, threshold).withColumn("rep", F.min("doc_id").over(Window.partitionBy("key")))
-    described = stage(described, "sets")
-    equal = described.where("doc_id != rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    pairs = stage(candidates(described.where("doc_id = rep").dropDuplicates(["doc_id", "key"]), threshold), "pairs")
-    if pairs.isEmpty():
-        return equal
-    near = verify(docs, pairs.select("a", "b"), components(pairs.where("tree")), n, threshold)
+    members, near = classes_and_pairs(docs, n, threshold)
+    equal = members.where("doc_id != class_id").select(F.col("class_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(equal).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def jaccard_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_copies, n_links, best) of every document that is like another one, a row for each.
+
+    class_id is the least document of the same set, n_copies the number of others with that set, n_links the number of other classes similar to it, best
+    the highest similarity to another document. A document with several versions has the least class, the sums and the highest similarity of them.
+    """
+    members, near = classes_and_pairs(docs, n, threshold)
+    both = near.unionByName(near.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b"), "jaccard"))
+    links = both.groupBy(F.col("doc_a").alias("class_id")).agg(F.countDistinct("doc_b").alias("n_links"), F.max("jaccard").alias("best"))
+    rows = members.join(links, "class_id", "left").where("n_copies > 0 OR n_links IS NOT NULL")
+    best = F.max(F.when(F.col("n_copies") > 0, 1.0).otherwise(F.col("best")))
+    return rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_copies").alias("n_copies"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_links"), best.alias("best"))
+
+
 def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that a chain of similar pairs links to a document of smaller doc_id; columns unchanged."""
-    pairs = stage(jaccard_pairs(docs, n, threshold), "near")
+    """docs without those that a chain of similar pairs links to a document of smaller doc_id; columns unchanged.
+
+    Rows without doc_id, and texts without tokens, stay; of rows that repeat a doc_id all stay or all go; any column names will do.
+    """
+    pairs = stage(jaccard_pairs(docs.select("doc_id", "text"), n, threshold), "near-all")
     groups = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-    drop = groups.where("v != c").select(F.col("v").alias("__drop"))
-    return docs.join(drop, docs["doc_id"] == F.col("__drop"), "left_anti")
+    drop = unused("drop", docs.columns)
+    gone = groups.where("v != c").select(F.col("v").alias(drop))
+    return docs.join(gone, docs["doc_id"] == F.col(drop), "left_anti")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of similar documents."""
-    return jaccard_pairs(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Documents that are like another one, with their class and number of links."""
+    return jaccard_links(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def pairs_sql(table: str = "documents", n: int = N, threshold: float = THRESHOLD) -> str:
-    """The same pairs as one SQL text: every shared shingle, counted."""
+    """The same rows as one SQL text: every shared shingle of the classes, counted."""
     return f"""
-    WITH tok AS (SELECT doc_id, {SQL_TOKENS.format("text")} AS w FROM {table}),
+    WITH tok AS (SELECT doc_id, {SQL_TOKENS.format("text")} AS w FROM {table} WHERE doc_id IS NOT NULL),
     sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {n} THEN list_transform(generate_series(1, len(w) - {n - 1}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) ELSE [array_to_string(w, ' ')] END)) AS s FROM tok WHERE len(w) > 0),
-    rep AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS r FROM sets),
-    one AS (SELECT doc_id, len(s) AS size, unnest(s) AS g FROM rep WHERE doc_id = r),
-    near AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) / (any_value(x.size) + any_value(y.size) - count(*)) AS jaccard
-        FROM one x JOIN one y ON x.g = y.g AND x.doc_id < y.doc_id AND least(x.size, y.size) >= {threshold} * greatest(x.size, y.size) - 1e-6 GROUP BY 1, 2)
-    SELECT doc_a, doc_b, jaccard::DOUBLE AS jaccard FROM near WHERE jaccard >= {threshold}
-    UNION ALL SELECT r, doc_id, 1.0::DOUBLE FROM rep WHERE doc_id <> r"""
+    rep AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) - 1 AS n_copies FROM sets),
+    one AS (SELECT doc_id, len(s) AS size, unnest(s) AS g FROM rep WHERE doc_id = class_id),
+    near AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) / (any_value(x.size) + any_value(y.size) - count(*)) AS jaccard
+        FROM one x JOIN one y ON x.g = y.g AND x.doc_id < y.doc_id AND least(x.size, y.size) >= {threshold} * greatest(x.size, y.size) - 1e-6 GROUP BY 1, 2),
+    links AS (SELECT class_id, count(*) AS n_links, max(jaccard) AS best FROM (SELECT a AS class_id, jaccard FROM near WHERE jaccard >= {threshold} UNION ALL SELECT b, jaccard FROM near WHERE jaccard >= {threshold}) GROUP BY 1)
+    SELECT doc_id, class_id, n_copies, coalesce(n_links, 0)::BIGINT AS n_links, (CASE WHEN n_copies > 0 THEN 1.0 ELSE best END)::DOUBLE AS best
+    FROM rep LEFT JOIN links USING (class_id) WHERE n_copies > 0 OR n_links IS NOT NULL"""
