@@ -28,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, stage
 
-THRESHOLD, BLOCKS, AXES, TILE = 0.95, 8, 2, 3000
+THRESHOLD, BLOCKS, AXES, TILE = 0.95, 8, 3, 16_000
 CELLS = "block int, cell long, guest boolean, v long, code binary"
 PAIRS = "vec_a long, vec_b long, similarity double"
 
@@ -152,8 +152,18 @@ def candidates(reps: DataFrame, threshold: float, blocks: int, axes: int) -> Dat
                     # vectors of different length share no cell
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d * 64 + b, np.int32)), pa.array(cell), pa.array(np.full(n, guest)), pa.array(ids[rows[who]]), values], ["block", "cell", "guest", "v", "code"])
 
+    def occupy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, x in by_length(batch.column(0)):
+                d, grid, held = x.shape[1], grids.value[x.shape[1]], {}
+                for b, _, cell, _ in grid.cells(unit(x) @ grid.rotation):
+                    held.setdefault(b, []).append(cell)
+                for b, lots in held.items():
+                    cell, n = np.unique(np.concatenate(lots), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), d * 64 + b, np.int32)), pa.array(cell), pa.array(n)], ["block", "cell", "n"])
+
     copies = reps.select("v", "e").mapInArrow(encode, CELLS)
-    large = reps.select("v", "e").mapInArrow(encode, CELLS).groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
+    large = reps.select("e").mapInArrow(occupy, "block int, cell long, n long").groupBy("block", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > TILE)
     large = large.select("block", "cell", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     tiled = copies.join(large, ["block", "cell"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("v", F.lit(5)), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -166,17 +176,19 @@ def candidates(reps: DataFrame, threshold: float, blocks: int, axes: int) -> Dat
         scale, error = code[:, :4].copy().view(np.float32)[:, 0], code[:, 4:8].copy().view(np.float32)[:, 0]
         x = code[:, 8:].view(np.int8).astype(np.float32) * scale[:, None]
         s, e = grid.start[b], grid.end[b]
-        mine = np.ascontiguousarray(x[:, s:e])
-        norm = (mine * mine).sum(axis=1)
+        mine = x[:, s:e]
+        norm = (mine * mine).sum(axis=1, keepdims=True)
+        # one product gives squared distances: (-2 x, |x|**2, 1) . (y, 1, |y|**2)
+        here, there = np.hstack([-2 * mine, norm, np.ones_like(norm)]), np.hstack([mine, np.ones_like(norm), norm])
         root = np.sqrt(grid.budget)
         slack = 2 * float(error.max())
         left = np.flatnonzero(tile == tx)
         right = left if tx == ty else np.flatnonzero(tile == ty)
-        for i in range(0, len(left), 512):
-            rows = left[i : i + 512]
-            far = norm[rows][:, None] + norm[right][None] - 2 * mine[rows] @ mine[right].T
-            p, q = np.nonzero(far <= (root[b] + slack) ** 2 + 1e-5)
-            p, q = rows[p], right[q]
+        other, limit = np.ascontiguousarray(there[right].T), np.float32((root[b] + slack) ** 2 + 1e-5)
+        for i in range(0, len(left), 128):
+            rows = left[i : i + 128]
+            spot = np.flatnonzero(here[rows] @ other <= limit)
+            p, q = rows[spot // len(right)], right[spot % len(right)]
             ok = ~(guest[p] & guest[q]) & (v[p] != v[q])
             if tx == ty:
                 ok &= p < q
@@ -265,30 +277,55 @@ def verified(reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, PAIRS)
 
 
-def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, axes: int = AXES) -> DataFrame:
-    """PAIRS, vec_a < vec_b: vectors of cosine >= threshold; of equal vectors the least vec_id stands for all and is paired with each."""
+def classes_and_pairs(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, axes: int = AXES) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, class_id, n_copies) and PAIRS: the class of equal vectors that each one is in, named by its least vec_id, and the similar pairs of classes."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     if not 1 <= blocks <= 64:
         raise ValueError("blocks must be from 1 to 64")
-    all_rows = stage(usable(vectors).withColumn("rep", F.min("v").over(Window.partitionBy("key"))), "vectors")
-    equal = all_rows.where("v != rep").select(F.col("rep").alias("vec_a"), F.col("v").alias("vec_b"), F.lit(1.0).alias("similarity"))
+    rows = stage(usable(vectors), "vectors")
+    # one hot class is one row here; AQE splits its rows in the join
+    shared = rows.groupBy("key").agg(F.min("v").alias("rep"), F.countDistinct("v").alias("n")).where("n > 1")
+    all_rows = stage(rows.join(shared, "key", "left").withColumn("rep", F.coalesce("rep", "v")).withColumn("n", F.coalesce("n", F.lit(1))), "vector-classes")
     reps = all_rows.where("v = rep").dropDuplicates(["v", "key"])
     pairs = stage(candidates(reps, threshold, blocks, axes), "vector-pairs")
-    found = verified(reps, pairs, threshold).unionByName(equal)
-    return found.groupBy("vec_a", "vec_b").agg(F.max("similarity").alias("similarity"))
+    members = all_rows.select(F.col("v").alias("vec_id"), F.col("rep").alias("class_id"), (F.col("n") - 1).alias("n_copies")).distinct()
+    return members, stage(verified(reps, pairs, threshold).groupBy("vec_a", "vec_b").agg(F.max("similarity").alias("similarity")), "similar")
+
+
+def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, axes: int = AXES) -> DataFrame:
+    """PAIRS, vec_a < vec_b: vectors of cosine >= threshold; of equal vectors the least vec_id stands for all and is paired with each."""
+    members, found = classes_and_pairs(vectors, threshold, blocks, axes)
+    equal = members.where("vec_id != class_id").select(F.col("class_id").alias("vec_a"), F.col("vec_id").alias("vec_b"), F.lit(1.0).alias("similarity"))
+    return found.unionByName(equal).groupBy("vec_a", "vec_b").agg(F.max("similarity").alias("similarity"))
+
+
+def similar_links(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, axes: int = AXES) -> DataFrame:
+    """(vec_id, class_id, n_copies, n_links, best) of every vector that is like another one, a row for each.
+
+    class_id is the least vec_id of equal vectors, n_copies the number of the others, n_links the number of other classes within the threshold, best the
+    highest similarity to another vector. A vector with several versions has the least class, the sums and the highest similarity of them.
+    """
+    members, found = classes_and_pairs(vectors, threshold, blocks, axes)
+    both = found.unionByName(found.select(F.col("vec_b").alias("vec_a"), F.col("vec_a").alias("vec_b"), "similarity"))
+    links = both.groupBy(F.col("vec_a").alias("class_id")).agg(F.countDistinct("vec_b").alias("n_links"), F.max("similarity").alias("best"))
+    rows = members.join(links, "class_id", "left").where("n_copies > 0 OR n_links IS NOT NULL")
+    best = F.max(F.when(F.col("n_copies") > 0, 1.0).otherwise(F.col("best")))
+    return rows.groupBy("vec_id").agg(F.min("class_id").alias("class_id"), F.sum("n_copies").alias("n_copies"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_links"), best.alias("best"))
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of similar vectors."""
-    return similar_vectors(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    """Vectors that are like another one, with their class and number of links."""
+    return similar_links(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
 def vectors_sql(threshold: float = THRESHOLD) -> str:
-    """The same pairs as one SQL text: every pair of different vectors."""
+    """The same rows as one SQL text: every pair of different vectors."""
     return f"""
-    WITH rep AS (SELECT vec_id, embedding, min(vec_id) OVER (PARTITION BY embedding) AS r FROM embeddings),
-    one AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM rep WHERE vec_id = r),
-    pairs AS (SELECT x.vec_id AS vec_a, y.vec_id AS vec_b, list_cosine_similarity(x.e, y.e) AS s FROM one x JOIN one y ON x.vec_id < y.vec_id)
-    SELECT vec_a, vec_b, round(s, 6) AS similarity FROM pairs WHERE s >= {threshold}::DOUBLE - 1e-12
-    UNION ALL SELECT r, vec_id, 1.0::DOUBLE FROM rep WHERE vec_id <> r"""
+    WITH rep AS (SELECT vec_id, embedding, min(vec_id) OVER (PARTITION BY embedding) AS class_id, count(*) OVER (PARTITION BY embedding) - 1 AS n_copies FROM embeddings),
+    one AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM rep WHERE vec_id = class_id),
+    pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.e, y.e) AS s FROM one x JOIN one y ON x.vec_id < y.vec_id),
+    near AS (SELECT a, b, round(s, 6) AS s FROM pairs WHERE s >= {threshold}::DOUBLE - 1e-12),
+    links AS (SELECT class_id, count(*) AS n_links, max(s) AS best FROM (SELECT a AS class_id, s FROM near UNION ALL SELECT b, s FROM near) GROUP BY 1)
+    SELECT vec_id, class_id, n_copies, coalesce(n_links, 0)::BIGINT AS n_links, (CASE WHEN n_copies > 0 THEN 1.0 ELSE best END)::DOUBLE AS best
+    FROM rep LEFT JOIN links USING (class_id) WHERE n_copies > 0 OR n_links IS NOT NULL"""
