@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, stage
+from .common import load, stage, unused
 
 MIN_LINES = 3
 
@@ -91,13 +91,14 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
     Columns and all other rows are unchanged; `n_chars`, where docs has it, follows the new text.
     """
-    runs = repeated_runs(docs, min_lines).groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("first_line", "last_line")).alias("__runs"))
-    mark = docs.withColumn("__key", F.xxhash64("text"))
-    both = mark.join(runs, (mark["doc_id"] == F.col("__doc")) & (mark["__key"] == F.col("__th")), "left")
-    both = both.withColumn("text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(without_runs(F.col("text"), F.col("__runs"))))
-    both = both.where(F.col("__runs").isNull() | (F.trim(F.regexp_replace("text", "\n", " ")) != ""))
+    doc, th, runs, key = (unused(name, docs.columns) for name in ("doc_of_run", "text_of_run", "runs", "text_key"))
+    found = repeated_runs(docs.select("doc_id", "text"), min_lines).groupBy(F.col("doc_id").alias(doc), F.col("th").alias(th)).agg(F.collect_list(F.struct("first_line", "last_line")).alias(runs))
+    mark = docs.withColumn(key, F.xxhash64("text"))
+    both = mark.join(found, (F.col("doc_id") == F.col(doc)) & (F.col(key) == F.col(th)), "left")
+    both = both.withColumn("text", F.when(F.col(runs).isNull(), F.col("text")).otherwise(without_runs(F.col("text"), F.col(runs))))
+    both = both.where(F.col(runs).isNull() | (F.trim(F.regexp_replace("text", "\n", " ")) != ""))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        both = both.withColumn("n_chars", F.when(F.col(runs).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return both.select(*docs.columns)
 
 
