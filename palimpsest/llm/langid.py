@@ -14,7 +14,7 @@ rows in expectation: the bound of the fit, a parameter. Scoring reads whole text
 Codes: all 2**(L-1) - 1 distinct two-way splits for up to 5 languages; above, the widest-apart of 200
 keyed random codes of ceil(10 log2 L) bits.
 
-Defined cases: null, empty and letterless texts have no language, are ambiguous and rejected; ties between
+Defined cases: null, empty and letterless texts have no language, are ambiguous and rejected; very long texts are read whole; ties between
 languages are ambiguous (the alphabetically first is named); rows with a null lang are scored but
 don't train; a single language in training needs no bits and is given to every text with letters; with no labelled row
 there is no model: nothing is identified, and the filter rejects nothing; a null doc_id stays null; repeated rows are scored alike; extra columns pass the filter unchanged.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, stage
 from .tokens import CHUNK, utf8
 
 SAMPLE, GAP, LEAST, BITS, SEED = 40_000, 0.15, 1, 16, 7
@@ -115,8 +115,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model | No
     if not n:
         return None
     share = min(1.0, sample / n)
-    # a share of the texts by hash: the same rows whatever the partitions; 16 tasks, as the sample is bounded
-    picked = known.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_003)) < share * 1_000_003).coalesce(16)
+    # a share of the texts by hash: the same rows whatever the partitions; scanned once by as many tasks as the input has, and kept for two reads
+    picked = stage(known.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_003)) < share * 1_000_003), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
