@@ -11,13 +11,14 @@
    Feistel permutation of 0..N-1, another one for every pass t div N: no block repeats within a pass.
 4. Joining: a draw knows its block's bucket by index arithmetic over the bucket table; draws and documents meet in
    one shuffle on (source, bucket), where the blocks are cut as the documents stream by. Text moves once.
+   A block's text is its tokens with one space between them: line breaks and indentation are not kept.
 
 Target weights: a mapping source -> weight, or None for shares proportional to the square root of a
 source's tokens. Weights of sources without any block are left out and the others rescaled.
 
 Defined cases: null, empty and blank texts give no token and no end token; a null source is the source
 '(none)'; a null doc_id is packed, and shown as null among a block's doc_ids; repeated rows are packed as often as
-they occur; an empty table, or weights of zero in sum, give no rows; a document longer than a block spans several; extra columns are ignored.
+they occur; an empty table, or weights of zero in sum, give no rows; a document longer than a block, however long, spans several; equal draws go to the slot order of their shard; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .common import load, stage
 from .tokens import U64, mix
 
 BLOCK_TOKENS, SHARD_BLOCKS, BUCKET_BYTES, SEED, END = 1024, 1024, 8 << 20, 20240, "<|endoftext|>"
+#: Rows of a table of sources that may be broadcast.
+SMALL = 100_000
 MIXED = "shard long, slot int, source string, block long, n_tokens int, doc_ids array<long>, text string"
 
 
@@ -86,7 +89,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epo
     """MIXED: one row for every output slot."""
     spark = docs.sparkSession
     counts = stage(token_counts(docs, seed), "tokens")
-    source_bytes = counts.groupBy("source").agg(F.ceil(F.sum("bytes") / bucket_bytes).cast("long").alias("buckets"))
+    source_bytes = stage(counts.groupBy("source").agg(F.ceil(F.sum("bytes") / bucket_bytes).cast("long").alias("buckets")), "sources")
+    # a row a source: sent to every task, so that text is not shuffled by its source, unless there are too many
+    if source_bytes.count() <= SMALL:
+        source_bytes = F.broadcast(source_bytes)
     bucket = F.pmod("ord", "buckets").alias("bucket")
     table = counts.join(source_bytes, "source").select("source", bucket, "tokens").groupBy("source", "bucket").agg(F.sum(F.col("tokens") + 1).alias("tokens"))
     table = table.withColumn("blocks", F.ceil(F.col("tokens") / block_tokens).cast("long"))
@@ -128,29 +134,33 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epo
     reach = table.select("source", "bucket", "base", "blocks", F.explode(F.sequence(F.expr(f"base DIV {stretch}"), F.expr(f"(base + blocks - 1) DIV {stretch}"))).alias("part"))
     placed = placed.withColumn("part", F.expr(f"block DIV {stretch}")).join(reach, ["source", "part"]).where("block >= base AND block < base + blocks")
     slots = placed.select("source", "bucket", F.lit(0).alias("kind"), F.col("block") - F.col("base"), "shard", "slot", F.col("block").alias("block"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")).toDF("source", "bucket", "kind", "ord", "shard", "slot", "block", "doc_id", "text")
-    # a row a source: bounded by the number of sources, joined by Spark's own choice
     texts = parts(docs, seed).join(source_bytes, "source").select("source", bucket, F.lit(1).alias("kind"), "ord", F.lit(None).cast("long").alias("shard"), F.lit(None).cast("int").alias("slot"), F.lit(None).cast("long").alias("block"), "doc_id", "text")
     both = slots.unionByName(texts).repartition("source", "bucket").sortWithinPartitions("source", "bucket", "kind", "ord", "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, wanted, words, ids, done = None, {}, [], [], 0
+        now, wanted, words, ids, done, head = None, {}, [], [], 0, 0
         out: list[tuple] = []
 
         def emit(n: int) -> None:
-            """The first n tokens are the next block; ids: (document, end of its tokens in words)."""
-            nonlocal words, ids, done
+            """The n tokens from `head` on are the next block; ids: (document, end of its tokens in words)."""
+            nonlocal words, ids, done, head
             draws_of = wanted.get(done)
             if draws_of:
-                start, members = 0, []
+                start, members = head, []
                 for doc, end in ids:
-                    if start < n:
+                    if start < head + n:
                         members.append(doc)
                     start = end
-                text = " ".join(words[:n])
+                text = " ".join(words[head : head + n])
                 out.extend((shard, slot, now[0], block, n, members, text) for shard, slot, block in draws_of)
-            words = words[n:]
-            ids = [(doc, end - n) for doc, end in ids if end > n]
+            head += n
             done += 1
+            if head * 2 > len(words):  # what is cut goes when it is the larger part, so a token is moved a few times at most
+                words = words[head:]
+                ids = [(doc, end - head) for doc, end in ids if end > head]
+                head = 0
+            else:
+                ids = [(doc, end) for doc, end in ids if end > head]
 
         def rows() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.string()))], ["shard", "slot", "source", "block", "n_tokens", "doc_ids", "text"])
@@ -161,9 +171,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epo
             source, bucket_, kind, ord_, shard, slot, block, doc_id, text = (batch.column(i).to_pylist() for i in range(9))
             for i in range(batch.num_rows):
                 if (source[i], bucket_[i]) != now:
-                    if words:
-                        emit(len(words))
-                    now, wanted, words, ids, done = (source[i], bucket_[i]), {}, [], [], 0
+                    if len(words) > head:
+                        emit(len(words) - head)
+                    now, wanted, words, ids, done, head = (source[i], bucket_[i]), {}, [], [], 0, 0
                 if kind[i] == 0:
                     wanted.setdefault(ord_[i], []).append((shard[i], slot[i], block[i]))
                     continue
@@ -173,12 +183,12 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epo
                 words += own
                 words.append(END)
                 ids.append((doc_id[i], len(words)))
-                while len(words) >= block_tokens:
+                while len(words) - head >= block_tokens:
                     emit(block_tokens)
                 if len(out) > 500:
                     yield rows()
-        if words:
-            emit(len(words))
+        if len(words) > head:
+            emit(len(words) - head)
         if out:
             yield rows()
 
