@@ -40,7 +40,9 @@ from pyspark.sql import functions as F
 from .common import load
 from .tokens import utf8
 
-KEY, ROUNDS = b"palimpsest-pseudonyms", 8
+ROUNDS = 8
+#: The session setting that names the secret key of the registered query.
+SETTING = "spark.palimpsest.pii.key"
 KINDS = ("card", "phone", "date", "ssn", "ip", "iban", "email", "secret")
 _FIND = re.compile(
     r"(?<![\w.])(?:"
@@ -60,7 +62,7 @@ _NAMED = re.compile(r"(?i)(?:token|secret|key|passw(?:or)?d|pwd)\s*[=:]\s*[\"']?
 class Feistel:
     """A keyed permutation of 0..n-1, and its inverse."""
 
-    def __init__(self, n: int, name: str, key: bytes = KEY):
+    def __init__(self, n: int, name: str, key: bytes):
         self.n, self.half = n, max(1, (max(1, n - 1).bit_length() + 1) // 2)
         self.mask, self.bytes = (1 << self.half) - 1, (self.half + 7) // 8
         self.seed = hashlib.blake2b(f"{name}/{n}".encode(), key=key, digest_size=16).digest()
@@ -206,7 +208,7 @@ def secret(s: str, key: bytes, back: bool) -> str:
 CHANGES: dict[str, Callable[[str, bytes, bool], str | None]] = {"card": card, "phone": phone, "date": date, "ssn": ssn, "ip": ip, "iban": iban, "email": email, "secret": secret}
 
 
-def replaced(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[str]]:
+def replaced(text: str, key: bytes, back: bool = False) -> tuple[str, list[str]]:
     """The text with pseudonyms (or, back, with the original values), and the kinds of the values."""
     out, kinds, done, at = [], [], 0, 0
     while m := _FIND.search(text, at):
@@ -223,14 +225,14 @@ def replaced(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list
 
 
 def has_marks(column: pa.Array) -> np.ndarray:
-    """Which texts have a digit or an at sign, or a run of hexadecimal letters long enough."""
+    """Which texts have a digit or an at sign: all that a pattern can match, but for secrets of letters alone, which stay."""
     data, offsets = utf8(column)
     mark = ((data >= 48) & (data <= 57)) | (data == 64)
     total = np.concatenate([[0], np.cumsum(mark)])
     return np.diff(total[offsets]) > 0 if len(offsets) > 1 else np.zeros(len(column), bool)
 
 
-def pseudonymized(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
+def pseudonymized(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """docs with pseudonyms in `text`; columns unchanged."""
     at = docs.columns.index("text")
 
@@ -261,7 +263,7 @@ def changed(column: pa.Array, key: bytes, back: bool) -> tuple[pa.Array, dict[in
 PSEUDONYMS = "doc_id long, text string, " + ", ".join(f"n_{k} int" for k in KINDS)
 
 
-def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     """PSEUDONYMS: every document's text with pseudonyms, and how many values of each kind were replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,4 +280,6 @@ def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms in place of personal numbers, dates and addresses."""
-    return pseudonyms(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    # a session without a key of its own gets one that anybody can read here: right for tests, never for data
+    key = spark.conf.get(SETTING, "public test key").encode()
+    return pseudonyms(load(spark, sf_dir, "documents").select("doc_id", "text"), key)

@@ -94,18 +94,19 @@ def test_decontamination_does_not_depend_on_slices(spark):
 
 def test_pii(spark, docs, empty):
     text = 'Pay 4111 1111 1111 1111 or 4111111111111111, not 4111111111111112; +1 (803) 555-5351 on 2024-02-29 = 29.02.2024 = 02/29/2024, 13/13/2024, 123-45-6789, 8.8.8.8, 10.1.2.3, 999.1.1.1, ab.34@mail7.example.com, DE89 3704 0044 0532 0130 00, token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
-    new, kinds = pii.replaced(text)
-    assert pii.replaced(new, back=True)[0] == text and len(kinds) == 12
+    key = b"k"
+    new, kinds = pii.replaced(text, key)
+    assert pii.replaced(new, key, back=True)[0] == text and len(kinds) == 12
     assert "4111111111111112" in new and "999.1.1.1" in new and "13/13/2024" in new
     card = new.split(" or ")[1].split(",")[0]
     assert new.startswith("Pay " + " ".join(card[i : i + 4] for i in (0, 4, 8, 12))) and card != "4111111111111111" and pii.check_digit(card[:-1]) == card[-1]
-    small = pii.Feistel(1000, "t")
+    small = pii.Feistel(1000, "t", key)
     assert sorted(small(x) for x in range(1000)) == list(range(1000)) and all(small(small(x), back=True) == x for x in range(1000))
     more = docs.unionByName(spark.createDataFrame([(300, text, "en", "s0", 0, None, None, None), (301, "see 4111111111111111", "en", "s0", 0, None, None, None)], DOCS))
-    got = {r.doc_id: r for r in pii.pseudonyms(more).collect()}
+    got = {r.doc_id: r for r in pii.pseudonyms(more, key).collect()}
     assert got[300].text == new and got[301].text == "see " + card and got[301].n_card == 1 and got[100].text is None and got[101].text == ""
-    back = pii.pseudonymized(pii.pseudonymized(more), back=True)
-    assert back.exceptAll(more).count() == 0 and more.exceptAll(back).count() == 0 and pii.pseudonyms(empty).count() == 0
+    back = pii.pseudonymized(pii.pseudonymized(more, key), key, back=True)
+    assert back.exceptAll(more).count() == 0 and more.exceptAll(back).count() == 0 and pii.pseudonyms(empty, key).count() == 0
 
 
 def test_jaccard(spark, docs, empty, rows):
@@ -136,6 +137,35 @@ def test_jaccard(spark, docs, empty, rows):
     assert jaccard.jaccard_pairs(empty).count() == 0
 
 
+def test_clashing_columns(spark):
+    """Columns named like every internal one come through unchanged."""
+    names = "drop doc_of_run text_of_run runs text_key __doc __th __runs __key __drop key rep size own also v c class_id n n_copies th h pos line_no Drop".split()
+    names = [n for k, n in enumerate(names) if n.lower() not in {m.lower() for m in names[:k]}]
+    text = "a b c\nd e f\ng h i"
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate([text, "x y z", text + "\nmore words here", None, ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    left = lines.line_dedup(df)
+    assert left.columns == df.columns
+    assert sorted(map(tuple, left.collect())) == sorted([r if r[0] != 2 else (2, "more words here", *r[2:]) for r in rows], key=lambda r: r[0])
+    kept = jaccard.one_of_each_group(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] != 2)
+
+
+def test_links(spark):
+    rng = random.Random(14)
+    base = document(rng, "en", 60)
+    texts = {1: base, 2: base, 3: base + " tail", 4: document(rng, "de", 60), 5: "one", 6: None}
+    df = spark.createDataFrame(list(texts.items()) + [(2, base)], "doc_id long, text string")
+    got = {r.doc_id: r[1:4] for r in jaccard.jaccard_links(df).collect()}
+    assert got == {1: (1, 1, 1), 2: (1, 1, 1), 3: (3, 0, 1)}
+    x = np.random.default_rng(1).normal(size=(3, 16)).astype(np.float32)
+    vecs = [(1, x[0]), (2, x[0]), (3, x[0] + np.float32(0.01)), (4, x[1]), (5, x[2]), (2, x[0])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vecs], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r[1:4] for r in embeddings.similar_links(df).collect()}
+    assert got == {1: (1, 1, 1), 2: (1, 1, 1), 3: (3, 0, 1)}
+    assert jaccard.jaccard_links(df.selectExpr("vec_id doc_id", "'' text")).count() == 0 and embeddings.similar_links(df.where("false")).count() == 0
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 64))
