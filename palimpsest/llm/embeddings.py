@@ -182,16 +182,31 @@ def candidates(reps: DataFrame, threshold: float, blocks: int, axes: int) -> Dat
         here, there = np.hstack([-2 * mine, norm, np.ones_like(norm)]), np.hstack([mine, np.ones_like(norm), norm])
         root = np.sqrt(grid.budget)
         slack = 2 * float(error.max())
-        left = np.flatnonzero(tile == tx)
-        right = left if tx == ty else np.flatnonzero(tile == ty)
-        other, limit = np.ascontiguousarray(there[right].T), np.float32((root[b] + slack) ** 2 + 1e-5)
-        for i in range(0, len(left), 128):
-            rows = left[i : i + 128]
-            spot = np.flatnonzero(here[rows] @ other <= limit)
-            p, q = rows[spot // len(right)], right[spot % len(right)]
-            ok = ~(guest[p] & guest[q]) & (v[p] != v[q])
+        reach, limit = float(root[b]) + slack + 1e-5, np.float32((root[b] + slack) ** 2 + 1e-5)
+        # rows in the order of one axis more than the grid's: a stretch of them is near a stretch of the others only
+        along = mine[:, min(grid.axes[b], e - s - 1)]
+
+        def near(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            left, right = left[np.argsort(along[left], kind="stable")], right[np.argsort(along[right], kind="stable")]
+            other, at = np.ascontiguousarray(there[right].T), along[right]
+            for i in range(0, len(left), 128):
+                rows = left[i : i + 128]
+                x0, x1 = np.searchsorted(at, along[rows[0]] - reach, "left"), np.searchsorted(at, along[rows[-1]] + reach, "right")
+                if x0 < x1:
+                    spot = np.flatnonzero(here[rows] @ other[:, x0:x1] <= limit)
+                    yield rows[spot // (x1 - x0)], right[x0 + spot % (x1 - x0)]
+
+        home = [np.flatnonzero((tile == t) & ~guest) for t in (tx, ty)]
+        guests = [np.flatnonzero((tile == t) & guest) for t in (tx, ty)]
+        # two guests need not meet here
+        if tx == ty:
+            meetings = itertools.chain(near(home[0], home[0]), near(home[0], guests[0]))
+        else:
+            meetings = itertools.chain(near(home[0], np.concatenate([home[1], guests[1]])), near(guests[0], home[1]))
+        for p, q in meetings:
+            ok = v[p] != v[q]
             if tx == ty:
-                ok &= p < q
+                ok &= (p < q) | guest[q]
             p, q = p[ok], q[ok]
             for lot in np.array_split(np.arange(len(p)), len(p) // 100_000 + 1):
                 k, m = p[lot], q[lot]
