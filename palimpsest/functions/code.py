@@ -16,18 +16,25 @@ from .diff import line_diffs
 
 
 def normalized(code: str) -> str:
-    """The code as its syntax tree prints it, without doc strings and with sorted keyword arguments; unparsable code as it is."""
+    """The code as its syntax tree prints it, without doc strings (but those of async functions) and with sorted keyword arguments; unparsable code as it is.
+
+    Arguments within the arguments of a call keep their order.
+    """
     try:
         tree = ast.parse(textwrap.dedent(code))
     except (SyntaxError, ValueError):
         return code
-    for node in ast.walk(tree):
+    todo: list[ast.AST] = [tree]
+    while todo:
+        node = todo.pop()
         if isinstance(node, (ast.Module, ast.ClassDef, ast.FunctionDef)):
             first = node.body[0] if node.body else None
             if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
                 node.body = node.body[1:] or ([] if isinstance(node, ast.Module) else [ast.Pass()])
         elif isinstance(node, ast.Call):
             node.keywords.sort(key=lambda k: str(k.arg))
+            continue
+        todo.extend(ast.iter_child_nodes(node))
     return ast.unparse(tree)
 
 
@@ -42,38 +49,8 @@ def code_equal(a: Column, b: Column) -> Column:
 
 
 def keystrokes(before: str, after: str, jump: int = 4) -> int:
-    """Least cost of typing `before` into `after` at a cursor that starts at the beginning.
-
-    Typing or deleting a character costs 1, deleting a range 2 whatever its length, moving the cursor its way, at most `jump`.
-    """
-    far, inf = jump, float("inf")
-    n, m = len(before), len(after)
-    # cost[j][c]: characters of `before` up to i are done, `after` up to j; the cursor is c behind (at most far)
-    row = [[inf] * (far + 1) for _ in range(m + 1)]
-    gone = [inf] * (m + 1)  # inside a range that is being deleted
-    row[0][0] = 0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            at = min(row[j][c] + c for c in range(far + 1))
-            if gone[j] + 1 < at:
-                at = gone[j] + 1
-            row[j][0] = min(row[j][0], at)
-            if j < m:
-                row[j + 1][0] = min(row[j + 1][0], row[j][0] + 1)
-        if i == n:
-            break
-        after_row = [[inf] * (far + 1) for _ in range(m + 1)]
-        after_gone = [inf] * (m + 1)
-        for j in range(m + 1):
-            at = row[j][0]
-            after_row[j][0] = min(after_row[j][0], at + 1)
-            after_gone[j] = min(after_gone[j], at + 1, gone[j])
-            if j < m and before[i] == after[j]:
-                for c in range(far + 1):
-                    k = min(far, c + 1)
-                    after_row[j + 1][k] = min(after_row[j + 1][k], row[j][c])
-        row, gone = after_row, after_gone
-    return int(min(min(row[m]), gone[m] + 1))
+    """Least cost of typing `before` into `after`, by the rules of block_keystrokes."""
+    return block_keystrokes([(before, after)], jump)[0]
 
 
 def block_keystrokes(pairs: list[tuple[str, str]], jump: int = 4) -> list[int]:

@@ -134,10 +134,64 @@ def completion_targets(delta: DataFrame, least: int = 6) -> DataFrame:
     return rows.where((F.col("n") <= 2) & (F.col("op") == "+") & (F.length("text") >= least)).select("id", "line", "text")
 
 
-def windows(lines: DataFrame, delta: DataFrame, size: int = 30, most: int = 4) -> DataFrame:
-    """(id, start, until, n_changes): windows of edit lines with a change, the first `most` of each text."""
+def windows(lines: DataFrame, delta: DataFrame, size: int = 30, most: int = 4, empty: bool = True) -> DataFrame:
+    """(id, start, until, n_changes): windows of edit lines, the first `most` of each text; without `empty` those with a change only.
+
+    The last edit line is the one after the text, where lines are appended; windows are cut from line 0 on.
+    """
     cut = (F.floor(F.col("line") / size) * size).cast("long")
-    spans = lines.groupBy("id", cut.alias("start")).agg((F.max("line") + 1).cast("long").alias("until"))
+    count = lines.groupBy("id").agg((F.max("line") + 2).cast("long").alias("n"))
+    spans = count.select("id", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) DIV {size}").cast("int"))).alias("w"))
+    spans = spans.select("id", (F.col("w") * size).cast("long").alias("start"), F.least((F.col("w") + 1) * size, F.col("n")).cast("long").alias("until"))
     changes = delta.groupBy("id", cut.alias("start")).agg(F.count(F.lit(1)).alias("n_changes"))
-    both = spans.join(changes, ["id", "start"])
+    both = spans.join(changes, ["id", "start"], "left" if empty else "inner").withColumn("n_changes", F.coalesce("n_changes", F.lit(0)))
     return both.withColumn("nth", F.row_number().over(_by("start"))).where(F.col("nth") <= most).drop("nth")
+
+
+def inlined_windows(lines: DataFrame, delta: DataFrame, size: int = 30, most: int = 4, ratio: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows after some change groups were put into the text: (new inline diff lines, rest delta, windows with the most groups).
+
+    Of a text with two groups at least, each group is put in with a probability of ratio times the square of a draw of the text; draws are hashes of (seed, id, group).
+    Windows hold the lines of `size` lines of the old text, at their places in the new one: (id, start, line_ids, n_groups); ties go to the first.
+    """
+    draw = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 30)) / (1 << 30)
+    groups = change_groups(delta)
+    last = F.max("grp").over(Window.partitionBy("id"))
+    marked = groups.withColumn("first", (last >= 2) & (draw(F.col("id"), F.col("grp")) <= ratio * F.pow(draw(F.col("id"), F.lit(-1)), F.lit(2.0))))
+    moved = decompose_for_change(marked)
+    first = moved.where("first").select("id", "line", "act", "op", "text")
+    act = F.row_number().over(Window.partitionBy("id", "new_line").orderBy("line", "act")) - 1
+    rest = moved.where("NOT first").withColumn("act", act).select("id", F.col("new_line").alias("line"), "act", "op", "text")
+    new = positions(apply_to_change(lines, first)).select("id", F.col("pos").alias("line"), "tag", "text", F.col("line").alias("was"))
+    kept = new.where("tag != '-' AND tag != '+'").select("id", "was", "line")
+    # the place after the text belongs to the last window
+    tail = new.groupBy("id").agg((F.max("was") + 1).alias("was"), (F.max("line") + 1).alias("line"))
+    members = kept.unionByName(tail).withColumn("start", (F.floor(F.col("was") / size) * size).cast("long"))
+    spans = members.groupBy("id", "start").agg(F.sort_array(F.collect_list("line")).alias("line_ids"))
+    hits = change_groups(rest).join(members.select("id", "start", "line"), ["id", "line"]).groupBy("id", "start").agg(F.countDistinct("grp").alias("n_groups"))
+    out = spans.join(hits, ["id", "start"], "left").withColumn("n_groups", F.coalesce("n_groups", F.lit(0)))
+    out = out.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n_groups"), "start"))).where(F.col("nth") <= most).drop("nth")
+    return new.drop("was"), rest, out
+
+
+def completions(lines: DataFrame, delta: DataFrame, least: int = 6, additions: bool = True, modifications: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Completion problems: (context: inline diff rows (id, pos, tag, text); targets: (id, line, text, kind)).
+
+    The target is the last change group's add, of a group of at most two actions that is led by an add of `least` characters; kind is 'add', or 'mod' where a
+    delete follows. All changes before it, and that delete, are applied to the context; line is the target's place in the context.
+    """
+    rows = change_groups(delta)
+    top = rows.withColumn("last", F.max("grp").over(Window.partitionBy("id"))).where("grp = last")
+    group = top.groupBy("id", "grp").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("line", "act", "op", "text"), F.struct("line", "act")).alias("head"), F.max_by("op", F.struct("line", "act")).alias("end"))
+    ok = F.lit(False)
+    if additions:
+        ok |= F.col("end") == "+"
+    if modifications:
+        ok |= F.col("end") == "-"
+    good = group.where((F.col("n") <= 2) & (F.col("head.op") == "+") & ok & (F.length("head.text") >= least)).select("id", F.col("grp").alias("last"), "end")
+    mine = rows.join(good, "id").withColumn("first", (F.col("grp") < F.col("last")) | ((F.col("grp") == F.col("last")) & (F.col("op") == "-")))
+    moved = decompose_for_change(mine.select("id", "line", "act", "op", "text", "grp", "first", "end"))
+    first = moved.where("first").select("id", "line", "act", "op", "text")
+    context = positions(apply_to_change(lines.join(good.select("id"), "id", "left_semi"), first)).select("id", "pos", "tag", "text")
+    target = moved.where("NOT first").withColumn("nth", F.row_number().over(_by("line", "act"))).where("nth = 1")
+    return context, target.select("id", F.col("new_line").alias("line"), "text", F.when(F.col("end") == "+", "add").otherwise("mod").alias("kind"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from ..functions.tokens import segments
+
 
 def spans_at(points: DataFrame, spans: DataFrame, stretch: int = 64) -> DataFrame:
     """points (id, line) with the span (start, until) of the same id that holds them, the narrowest first.
@@ -29,9 +32,11 @@ def longest_module(paths: DataFrame, modules: DataFrame) -> DataFrame:
 def ranked_context(pairs: DataFrame) -> DataFrame:
     """Context of each target by score: distance (at most 1000, that of other modules), less 2000 if used, plus length; ties newest first.
 
+    The distance is the lesser one of opposite ends, whatever their order, so spans that overlap are as far apart as those ends.
+
     pairs: (target, item, same_module, start, until, t_start, t_until, used, length, seq).
     """
-    gap = F.least(F.greatest(F.col("start") - F.col("t_until"), F.col("t_start") - F.col("until"), F.lit(0)), F.lit(1000))
+    gap = F.least(F.abs(F.col("start") - F.col("t_until")), F.abs(F.col("t_start") - F.col("until")), F.lit(1000))
     score = F.when(F.col("same_module"), gap).otherwise(1000) - F.when(F.col("used"), 2000).otherwise(0) + F.col("length")
     scored = pairs.select("target", "item", score.cast("long").alias("score"), "seq")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("score", F.desc("seq"), "item"))).drop("seq")
@@ -45,8 +50,12 @@ def within_budget(df: DataFrame, by: list[str], order: list[str], size: Column,
 def chunked(tokens: Column, size: int, overlap: int) -> Column:
     """Chunks of `size` tokens, each beginning `overlap` tokens before the last one's end."""
     step = size - overlap
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s + overlap < F.size(tokens)))
-    return F.when(F.size(tokens) > 0, F.transform(starts, lambda s: F.slice(tokens, s + 1, size)))
+
+    def cut(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s + overlap < F.size(t)))
+        return F.when(F.size(t) > 0, F.transform(starts, lambda s: F.slice(t, s + 1, size)))
+
+    return let(tokens, cut)
 
 
 def shares(total: int, sizes: list[Column]) -> list[Column]:
@@ -63,12 +72,6 @@ def shares(total: int, sizes: list[Column]) -> list[Column]:
     return out
 
 
-def output_segments(tokens: Column, is_mark: Column | None = None) -> Column:
-    """Tokens after each mark `<n>` up to the next, as a map from mark to tokens; text before the first is lost, the last of equal marks counts."""
-    marks = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.element_at(tokens, i).rlike("^<[0-9]+>$"))
-    pieces = F.transform(
-        marks,
-        lambda i: F.struct(F.element_at(tokens, i).alias("mark"), i.alias("at"), F.slice(tokens, i + 1, F.coalesce(F.array_min(F.filter(marks, lambda j: j > i)), F.size(tokens) + 1) - i - 1).alias("tokens")),
-    )
-    last = F.filter(pieces, lambda p: ~F.exists(pieces, lambda q: (q["mark"] == p["mark"]) & (q["at"] > p["at"])))
-    return F.transform(last, lambda p: F.struct(p["mark"].alias("mark"), p["tokens"].alias("tokens")))
+def output_segments(tokens: Column) -> Column:
+    """Tokens after each mark `<n>` up to the next, as (mark, tokens); text before the first is lost, the last of equal marks counts."""
+    return segments(tokens)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,19 +70,30 @@ def marginalized(df: DataFrame, by: list[str], norm: Column, weight: Column, sco
     return groups.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("weight"), F.desc("score"), "form")))
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit words whose bits depend on all bits of the given ones."""
+    for k in (0xD6E8FEB86659FD93, 0xCF5B2E3A1D9C8B47):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(k)
+    return h ^ (h >> np.uint64(29))
+
+
 def resampled_means(df: DataFrame, value: str, rounds: int, seed: int) -> DataFrame:
-    """(b, mean): means of Poisson resamples, summed in the scan: the weight of row r in round b depends on (seed, row key, b) only.
+    """(b, mean): means of Poisson resamples, summed in the scan: the weight of row r in round b depends on (seed, row key, b) only, by a hash.
 
     df: (key, value). Each task returns a row a round, so what is shuffled does not grow with the rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, weight = np.zeros(rounds), np.zeros(rounds)
+        steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+        marks = _mixed(np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for lot in batches:
-            for key, v in lot.itertuples(index=False):
-                w = np.random.Generator(np.random.Philox(key=[seed, key & (2**63 - 1)])).poisson(1.0, rounds)
-                total += w * v
-                weight += w
+            keys, values = lot.iloc[:, 0].to_numpy(np.int64).view(np.uint64), lot.iloc[:, 1].to_numpy(float)
+            for i in range(0, len(keys), 256):
+                # one hash for each (row, round), turned to a Poisson(1) draw by the distribution's steps
+                w = np.searchsorted(steps, _mixed(_mixed(keys[i : i + 256, None] + np.uint64(seed)) ^ marks[None]) / 2.0**64, "right")
+                total += values[i : i + 256] @ w
+                weight += w.sum(axis=0)
         yield pd.DataFrame({"b": np.arange(rounds), "t": total, "w": weight})
 
     sums = df.where(F.col(value).isNotNull()).select("key", F.col(value).cast("double")).mapInPandas(run, "b int, t double, w double")

@@ -1,3 +1,3 @@
 """Registered queries: each applies operators to whole tables and has its SQL twin."""
 
-from . import changes, code, curation, delta, stats  # noqa: F401
+from . import changes, code, curation, delta, stats, tokens  # noqa: F401

@@ -56,7 +56,7 @@ def prior_changes_prefix(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT conv_id, turn, role, turn * 10 AS a, turn * 10 + 3 AS u, length(text) AS n FROM conversations),
-p AS (SELECT t.conv_id, t.turn AS target, i.turn AS item, (CASE WHEN t.role = i.role THEN least(greatest(i.a - t.u, t.a - i.u, 0), 1000) ELSE 1000 END - CASE WHEN i.turn % 3 = 0 THEN 2000 ELSE 0 END + i.n)::BIGINT AS score FROM s t JOIN s i ON t.conv_id = i.conv_id AND i.turn < t.turn)
+p AS (SELECT t.conv_id, t.turn AS target, i.turn AS item, (CASE WHEN t.role = i.role THEN least(abs(t.a - i.u), abs(i.a - t.u), 1000) ELSE 1000 END - CASE WHEN i.turn % 3 = 0 THEN 2000 ELSE 0 END + i.n)::BIGINT AS score FROM s t JOIN s i ON t.conv_id = i.conv_id AND i.turn < t.turn)
 SELECT conv_id, target, item, score, row_number() OVER (PARTITION BY conv_id, target ORDER BY score, item DESC) AS rank FROM p""")
 def rank_context(spark, sf_dir):
     """Earlier turns of each turn's conversation, ranked as context: nearest of the same role first, used ones before all."""
@@ -67,12 +67,9 @@ def rank_context(spark, sf_dir):
     return R.ranked_context(pairs).select("target.conv_id", "target.target", "item", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {PAIRS} SELECT conv_id, role, turn, levenshtein(substr(before, 1, 200), substr(after, 1, 200))::BIGINT AS gain FROM v WHERE regexp_full_match(before, '[\\x00-\\x7F]*') AND regexp_full_match(after, '[\\x00-\\x7F]*')")
+@query()
 def levenshtein_gain(spark, sf_dir):
-    """Edit distance of all version pairs, over the whole texts in characters; lines that did not change add nothing.
-
-    The SQL still costs the first 200 characters of ASCII pairs only (DuckDB counts bytes), so its rows differ.
-    """
+    """Edit distance of all version pairs, over the whole texts in characters; lines that did not change add nothing. No SQL: DuckDB counts bytes."""
     rows = C.version_pairs(versions(spark, sf_dir)).where("before IS NOT NULL AND after IS NOT NULL")
     return rows.select(F.col("project").alias("conv_id"), F.col("path").alias("role"), F.col("seq").alias("turn"), F.levenshtein("before", "after").cast("long").alias("gain"))
 

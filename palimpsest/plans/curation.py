@@ -23,13 +23,10 @@ def history_walk(spark, sf_dir):
     return out.select(F.col("project").alias("o_custkey"), F.col("id").alias("o_orderkey"), F.col("depth").cast("long").alias("depth"))
 
 
-@query("""WITH s AS (SELECT conv_id, md5(string_agg(lower(substr(text, 1, 1)), chr(31) ORDER BY turn)) AS signature FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3) GROUP BY 1)
+@query("""WITH s AS (SELECT conv_id, md5(string_agg(text, chr(31) ORDER BY turn)) AS signature FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 30) GROUP BY 1)
 SELECT min(conv_id) AS conv_id, signature, count(*)::BIGINT AS n FROM s GROUP BY signature""")
 def repo_signature_dedupe(spark, sf_dir):
-    """Conversations as repositories: those whose first 30 messages are the same count once.
-
-    The SQL still signs the first letters of three messages, so its rows differ.
-    """
+    """Conversations as repositories: those whose first 30 messages are the same count once."""
     t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("project"), F.col("turn").alias("seq"), F.col("text").alias("message"))
     return K.first_of_each(K.signatures(t), ["signature"], ["project"]).select(F.col("project").alias("conv_id"), "signature", "n")
 

@@ -110,7 +110,29 @@ def completion_targets(spark, sf_dir):
     return ints(D.completion_targets(both(spark, sf_dir)[1]), "line")
 
 
-@query(f"""WITH {SCRIPT}, a AS (SELECT id, (line // 5) * 5 AS start, max(line) + 1 AS until FROM l GROUP BY ALL), b AS (SELECT id, (line // 5) * 5 AS start, count(*) AS n_changes FROM d GROUP BY ALL)
-SELECT id, start::BIGINT AS start, until::BIGINT AS until, n_changes::BIGINT AS n_changes FROM a JOIN b USING (id, start) QUALIFY row_number() OVER (PARTITION BY id ORDER BY start) <= 4""")
+@query(f"""WITH {SCRIPT}, n AS (SELECT id, max(line) + 2 AS n FROM l GROUP BY id), a AS (SELECT id, n, unnest(generate_series(0, (n - 1) // 30)) * 30 AS start FROM n),
+b AS (SELECT id, (line // 30) * 30 AS start, count(*) AS n_changes FROM d GROUP BY ALL)
+SELECT id, start::BIGINT AS start, least(start + 30, n)::BIGINT AS until, coalesce(n_changes, 0)::BIGINT AS n_changes FROM a LEFT JOIN b USING (id, start) QUALIFY row_number() OVER (PARTITION BY id ORDER BY start) <= 4""")
 def split_windows(spark, sf_dir):
-    return D.windows(*both(spark, sf_dir), size=5, most=4)
+    return ints(D.windows(*both(spark, sf_dir)), "n_changes")
+
+
+@query(f"""WITH {GROUPS}, n AS (SELECT id, max(line) + 2 AS n FROM l GROUP BY id), a AS (SELECT id, unnest(generate_series(0, (n - 1) // 30)) * 30 AS start FROM n),
+b AS (SELECT id, (line // 30) * 30 AS start, count(DISTINCT grp) AS n_groups FROM g GROUP BY ALL)
+SELECT id, start::BIGINT AS start, coalesce(n_groups, 0)::BIGINT AS n_groups FROM a LEFT JOIN b USING (id, start) QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(n_groups, 0) DESC, start) <= 4""")
+def inline_windows(spark, sf_dir):
+    """Windows of most changes with nothing put into the text (a ratio of 0), the case that SQL can follow."""
+    return ints(D.inlined_windows(*both(spark, sf_dir), ratio=0.0)[2].select("id", "start", "n_groups"), "start", "n_groups")
+
+
+@query()
+def inline_windows_drawn(spark, sf_dir):
+    """Windows after groups were drawn into the text."""
+    return D.inlined_windows(*both(spark, sf_dir))[2]
+
+
+@query(f"""WITH {GROUPS}, z AS (SELECT *, count(*) OVER (PARTITION BY id, grp) AS n, max(grp) OVER (PARTITION BY id) AS top, row_number() OVER (PARTITION BY id, grp ORDER BY line, act) AS k, last(op) OVER (PARTITION BY id, grp ORDER BY line, act ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tail FROM g)
+SELECT z.id, (line + (SELECT count(*) FROM g p WHERE p.id = z.id AND p.op = '+' AND p.grp < z.grp) + CASE WHEN tail = '-' THEN 1 ELSE 0 END)::BIGINT AS line, text, CASE tail WHEN '+' THEN 'add' ELSE 'mod' END AS kind FROM z WHERE grp = top AND n <= 2 AND k = 1 AND op = '+' AND length(text) >= 6""")
+def completion_problems(spark, sf_dir):
+    """Completion targets at their places in the context to which everything before them was applied."""
+    return ints(D.completions(*both(spark, sf_dir))[1], "line")

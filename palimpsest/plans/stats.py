@@ -71,10 +71,10 @@ def gain_ratio(spark, sf_dir):
     return S.gain_ratios(gains, ["model"]).withColumns({c: F.round(c, 8) for c in ("first_ratio", "total_ratio")})
 
 
-@query("""WITH g AS (SELECT conv_id, lower(substr(text, 1, 1)) AS form, count(*)::BIGINT AS n_samples, sum(1.0 / (1 + turn))::DOUBLE AS weight, max(length(text))::BIGINT AS score, arg_max(turn, length(text) * 1000 - turn)::BIGINT AS member FROM conversations GROUP BY 1, 2)
+@query("""WITH g AS (SELECT conv_id, lower(text) AS form, count(*)::BIGINT AS n_samples, sum(1.0 / (1 + turn))::DOUBLE AS weight, max(length(text))::BIGINT AS score, arg_max(turn, length(text) * 1000 - turn)::BIGINT AS member FROM conversations GROUP BY 1, 2)
 SELECT conv_id, form, n_samples, round(weight, 6) AS weight, score, member, row_number() OVER (PARTITION BY conv_id ORDER BY weight DESC, score DESC, form)::BIGINT AS rank FROM g""")
 def marginalize(spark, sf_dir):
-    """Turns of a conversation as samples, grouped by their whole text in lower case; the SQL still groups by the first letter."""
+    """Turns of a conversation as samples, grouped by their whole text in lower case."""
     t = table(spark, sf_dir, "conversations")
     out = S.marginalized(t, ["conv_id"], F.lower("text"), 1 / (1 + F.col("turn")).cast("double"), F.length("text").cast("long"), "turn")
     return out.select("conv_id", "form", "n_samples", F.round("weight", 6).alias("weight"), "score", "member", F.col("rank").cast("long").alias("rank"))
