@@ -3,30 +3,33 @@
 A document is the set of its `n`-token shingles. Sizes are cut into bands such that two sets with
 Jaccard similarity >= `threshold` lie in the same band or in neighbouring ones; a set belongs to its
 own band's group and to the next one's. In a group whose largest size is r, two similar sets differ in
-at most k = 2 r (1 - t) / (1 + t) shingles. The shingle domain is cut into P partitions by hash; the
-content of each non-empty partition is a signature. With P = k + s + 1, s + 1 partitions at least agree
-whatever the k differences hit, so asking for s shared signatures loses nothing but pairs with several empty partitions;
-s is 1 for small sets and 2 from SHARED_FROM shingles on, which keeps out sets that agree by chance in one partition of
-common shingles. Where k is large, P is smaller: the least for which two sets exactly at the
-threshold share fewer signatures with a probability of 1e-3 at most (more similar ones: far less). Groups
-with r above FEATURES enumerate signatures over a hash-chosen part 2**-j of the shingle domain, the same for all
-sets of the group, so the signatures of a set do not grow with its text. All pairs that
-share s signatures and do not differ too much in a sketch are candidates; all candidates are verified on their whole sets.
-The sketch has SKETCH min-hash bits of a set's part of the shingle domain: two sets at the threshold agree on them far more often
+at most k = 2 r (1 - t) / (1 + t) shingles. The shingle domain is cut into P partitions by hash. PartEnum's signatures are the subsets of s
+partitions with their content: with P = k + s + 1, s + 1 partitions at least agree whatever the k differences hit. The subsets are not written out
+(there are P over s of them): each non-empty partition's content is sent, and two sets share a subset's signature where they
+share s of these. s is 1 for small sets and 2 from SHARED_FROM shingles on, which keeps out sets that agree by chance in one partition of
+common shingles.
+
+Partitions that are empty in both sets agree without a signature; below EXACT shingles there are so many partitions (more than k + s + 1 where need be) that
+this hides a pair with a probability of MISS = 1e-5 at most, computed exactly for the least similar pairs. Where k is larger the guarantee is exchanged for a bound, as k + 3 signatures a text cost more than the texts: P is the least for
+which two sets exactly at the threshold share fewer signatures with a probability of MISS at most (more similar ones: far less). Groups
+with r above FEATURES take signatures from a hash-chosen part 2**-j of the shingle domain, the same for all
+sets of the group; the bound counts that in. All pairs that share s signatures and do not differ too much in a sketch are candidates; all candidates are verified
+on their whole sets. The sketch has SKETCH min-hash bits of a set's part of the shingle domain: two sets at the threshold agree on them far more often
 than sets that share a signature by chance; the least agreement asked for is 4.5 standard deviations below what a pair at the threshold has.
 
-Sets that are equal are one set in the search; each further document with that set is reported
-with the first one (similarity 1), so nothing about them is lost and the result stays linear in copies.
-Verification brings the sets of a connected component of candidates together, in tiles of bounded size.
+Sets that are equal are one class in the search, named by its least document, so the work stays linear in copies.
+Buckets of a signature, and the sets of a connected component of candidates for verification, are joined in tiles of bounded size.
 
 Defined cases: null or empty texts, and texts without tokens, have no set and no partner; a text of fewer
-than n tokens is one shingle, all its tokens; rows without doc_id are left out; rows that repeat a doc_id
+than n tokens is one shingle, all its tokens; very long texts are read whole; a similarity equal to the threshold counts; rows without doc_id are left
+out of the search and stay in the filter; rows that repeat a doc_id
 are versions of one document: it has the best similarity of its versions and is never its own partner;
-an empty table gives no pairs; extra columns are ignored.
+an empty table gives no rows; extra columns are ignored, and come through the filter whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -38,9 +41,11 @@ from pyspark.sql import functions as F
 from .common import load, stage, unused
 from .tokens import SQL_TOKENS, U64, Chunk, chunks, mix
 
-N, THRESHOLD, FEATURES, MISS, TILE, SHARED_FROM = 2, 0.7, 128, 1e-3, 3000, 18
-#: Bits of the candidates' Bloom filter: its size does not depend on the data, a full one just lets more rows through.
-BLOOM_BITS = 23
+N, THRESHOLD, FEATURES, MISS, TILE, SHARED_FROM = 2, 0.7, 128, 1e-5, 3000, 18
+#: Sets of fewer shingles get so many partitions that a pair can only be missed by partitions that are empty in both.
+EXACT = 60
+#: Bits of the candidates' filter: eight for each candidate, within these bounds (16 MB at most are broadcast); a full one lets more rows through.
+BLOOM_BITS = (16, 27)
 #: Bits of the sketch that tells candidates from sets that share a signature by chance.
 SKETCH = 128
 _KEYS = mix(np.arange(1, 2 * SKETCH + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).astype(np.uint32).reshape(2, SKETCH)
@@ -48,6 +53,34 @@ _KEYS = mix(np.arange(1, 2 * SKETCH + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).a
 PART = U64(63)
 
 
+def missed_exactly(parts: int, differ: int, common: int, shared: int) -> float:
+    """Probability that fewer than `shared` of the partitions that no difference hits hold a common shingle, each shingle falling in any partition."""
+
+    def fallen(balls: int, bins: int) -> list[float]:
+        """Probability of each number of the first `bins` partitions that the balls hit."""
+        p = [1.0] + [0.0] * bins
+        for _ in range(balls):
+            p = [p[k] * (parts - bins + k) / parts + (p[k - 1] * (bins - k + 1) / parts if k else 0.0) for k in range(bins + 1)]
+        return p
+
+    return sum(p * sum(fallen(common, parts - hit)[:shared]) for hit, p in enumerate(fallen(differ, parts)) if p > 1e-12)
+
+
+@functools.lru_cache(maxsize=64)
+def small_parts(low: int, high: int, threshold: float, shared: int, miss: float) -> int:
+    """Partitions for the sets of a small band: k + s + 1 at least, and so many that no pair of sizes is missed with more than `miss`, as agreeing partitions may be empty."""
+    parts = math.floor(2 * high * (1 - threshold) / (1 + threshold) + 1e-9) + shared + 1
+    pairs = []
+    for big in (low, high):
+        for size in range(max(1, math.ceil(threshold * big - 1e-9)), big + 1):
+            common = math.ceil(threshold * (size + big) / (1 + threshold) - 1e-9)
+            if common <= size and size + big > 2 * common:
+                pairs.append((size + big - 2 * common, common))
+    while parts < 64 and any(missed_exactly(parts, d, o, shared) > miss for d, o in set(pairs)):
+        parts += 1
+    return parts
+
+
 class Bands:
     """Size bands of a threshold: first size, sampling shift and number of partitions of each group."""
 
@@ -64,7 +97,9 @@ class Bands:
             seen = k / 2**shift
             s = 2 if low[g] >= SHARED_FROM else 1
             parts = math.floor(seen + 1e-9) + s + 1
-            if seen >= 1:
+            if r < EXACT:
+                parts = small_parts(low[g], r, threshold, s, miss)
+            elif parts > EXACT // 2:
                 parts = next((p for p in range(2, parts) if self.missed(p, seen, 2 * r / 2**shift / (1 + 1 / threshold), s) <= miss), parts)
             if parts > 64:
                 raise ValueError("threshold too low for this number of features")
@@ -182,21 +217,26 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
         return reps.select("doc_id", "size", F.lit(mine).alias("mine"), F.explode(column).alias("sig"))
 
     rows = group_rows("own", True).unionByName(group_rows("also", False))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1").select("doc_id", "size", "mine", "sig", F.lit(None).cast("binary").alias("bits"))
+    # a hot signature is one row of the counts; AQE splits its rows in the join
+    often = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    rows = rows.join(often, "sig").select("doc_id", "size", "mine", F.struct("sig", "tiles").alias("sig"), F.lit(None).cast("binary").alias("bits"))
     for column, mine in (("own", True), ("also", False)):  # the sketches join in the grouping, not in the shuffle by signature
-        rows = rows.unionByName(reps.select("doc_id", "size", F.lit(mine).alias("mine"), F.lit(None).cast("long").alias("sig"), F.col(f"{column}_bits").alias("bits")))
+        rows = rows.unionByName(reps.select("doc_id", "size", F.lit(mine).alias("mine"), F.lit(None).cast("struct<sig:long,tiles:int>").alias("sig"), F.col(f"{column}_bits").alias("bits")))
     held = rows.groupBy("doc_id", "size", "mine").agg(F.collect_list("sig").alias("sigs"), F.max("bits").alias("bits")).where((F.size("sigs") > 1) | ((F.size("sigs") > 0) & (F.col("size") < two)))
     # of the other signatures 32 bits are sent, which still name their partition
-    short = F.transform("sigs", lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int"))
-    buckets = held.select("doc_id", "size", "mine", "bits", short.alias("others"), F.explode("sigs").alias("sig")).repartition("sig").sortWithinPartitions("sig", "doc_id")
+    short = F.transform("sigs", lambda x: (x["sig"].bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int"))
+    buckets = held.select("doc_id", "size", "mine", "bits", short.alias("others"), F.explode("sigs").alias("s")).select("doc_id", "size", "mine", "bits", "others", "s.*")
+    # a bucket of more than TILE rows is cut into tiles, and joined tile by tile
+    buckets = buckets.withColumn("tile", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    buckets = buckets.withColumns({"x": F.least("tile", "other"), "y": F.greatest("tile", "other")}).repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "doc_id")
 
     agree = least_agreement(threshold)
 
-    def pairs_of(sig: int, doc: np.ndarray, size: np.ndarray, mine: np.ndarray, bits: np.ndarray, table: np.ndarray) -> Iterator[tuple]:
+    def pairs_of(task: tuple, doc: np.ndarray, size: np.ndarray, mine: np.ndarray, bits: np.ndarray, table: np.ndarray, tile: np.ndarray) -> Iterator[tuple]:
         """table: a row of signatures by partition for each set of the bucket, 0 where there is none."""
-        part, label = sig & 63, np.arange(len(doc))
+        part, label, across = task[0] & 63, np.arange(len(doc)), task[1] != task[2]
         for i in range(len(doc) - 1):
-            rest = np.flatnonzero((mine[i + 1 :] | mine[i]) & (np.minimum(size[i + 1 :], size[i]) >= least * np.maximum(size[i + 1 :], size[i]) - 1e-6) & (doc[i + 1 :] != doc[i])) + i + 1
+            rest = np.flatnonzero((mine[i + 1 :] | mine[i]) & (np.minimum(size[i + 1 :], size[i]) >= least * np.maximum(size[i + 1 :], size[i]) - 1e-6) & (doc[i + 1 :] != doc[i]) & (~across | (tile[i + 1 :] != tile[i]))) + i + 1
             if len(rest):
                 rest = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1) <= SKETCH - agree]
             if not len(rest):
@@ -229,26 +269,27 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc, size, mine, bits, sigs, sig = (batch.column(i) for i in range(6))
-            doc, size, sig, mine = doc.to_numpy(), size.to_numpy(), sig.to_numpy(), mine.to_numpy(zero_copy_only=False)
+            doc, size, mine, bits, sigs, sig, tile, tx, ty = (batch.column(i) for i in range(9))
+            doc, size, sig, mine, tile, tx, ty = doc.to_numpy(), size.to_numpy(), sig.to_numpy(), mine.to_numpy(zero_copy_only=False), tile.to_numpy(), tx.to_numpy(), ty.to_numpy()
             bits = np.frombuffer(bits.buffers()[2], U64).reshape(-1, SKETCH // 64)[bits.offset : bits.offset + len(bits)]
             flat = (sigs.flatten().to_numpy().astype(np.int64) + (1 << 31)).astype(np.uint32)
             row = np.repeat(np.arange(len(doc)), sigs.value_lengths().to_numpy())
             table = np.zeros((len(doc), 64), np.uint32)
             table[row, (flat & np.uint32(63)).astype(np.int64)] = flat
-            cut = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
+            cut = np.concatenate([[0], np.flatnonzero((sig[1:] != sig[:-1]) | (tx[1:] != tx[:-1]) | (ty[1:] != ty[:-1])) + 1, [len(sig)]])
             found = []
             for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                if sig[x] != now:
+                task = (int(sig[x]), int(tx[x]), int(ty[x]))
+                if task != now:
                     found += close()
-                    now, held = int(sig[x]), []
-                held.append((doc[x:y], size[x:y], mine[x:y], bits[x:y], table[x:y]))
+                    now, held = task, []
+                held.append((doc[x:y], size[x:y], mine[x:y], bits[x:y], table[x:y], tile[x:y]))
             if found:
                 yield batch_of(found)
         if found := close():
             yield batch_of(found)
 
-    return buckets.select("doc_id", "size", "mine", "bits", "others", "sig").mapInArrow(run, "a long, b long, tree boolean")
+    return buckets.select("doc_id", "size", "mine", "bits", "others", "sig", "tile", "x", "y").mapInArrow(run, "a long, b long, tree boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -287,9 +328,10 @@ def verify(docs: DataFrame, pairs: DataFrame, member: DataFrame, n: int, thresho
     right = tiled.select(F.col("v").alias("b"), F.col("h").alias("hb"))
     todo = pairs.join(left, "a").join(right, "b").select("c", F.least("ha", "hb").alias("x"), F.greatest("ha", "hb").alias("y"), "a", "b", F.lit(None).cast("binary").alias("grams"))
 
-    place = tiled.select(F.pmod(F.xxhash64("v"), F.lit(1 << BLOOM_BITS)).cast("int").alias("p"))
+    wide = min(max(math.ceil(math.log2(8 * max(1, tiled.count()))), BLOOM_BITS[0]), BLOOM_BITS[1])
+    place = tiled.select(F.pmod(F.xxhash64("v"), F.lit(1 << wide)).cast("int").alias("p"))
     bits = place.select(F.expr("p DIV 32").alias("w"), F.expr("shiftleft(1L, p % 32)").alias("bit"))
-    bloom = np.zeros(1 << (BLOOM_BITS - 5), np.int64)
+    bloom = np.zeros(1 << (wide - 5), np.int64)
     for w, bit in bits.groupBy("w").agg(F.bit_or("bit")).toLocalIterator():
         bloom[w] = bit
     wanted = spark.sparkContext.broadcast(bloom.astype(np.uint32))
@@ -304,7 +346,7 @@ def verify(docs: DataFrame, pairs: DataFrame, member: DataFrame, n: int, thresho
                 values = pa.Array.from_buffers(pa.binary(), c.n, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(grams)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), values], ["v", "grams"])
 
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << BLOOM_BITS)).cast("long"), "text")
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << wide)).cast("long"), "text")
     # a set goes to the tasks that have a pair for it, and to no other tile
     needed = todo.select("c", "x", "y", F.explode(F.array("a", "b")).alias("v")).distinct()
     members = texts.mapInArrow(sets, "v long, grams binary").join(needed, "v").select("c", "x", "y", F.col("v").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
