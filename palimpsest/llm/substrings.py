@@ -149,18 +149,17 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
         raise ValueError("width must be at least 1")
     gram = min(gram, width)
     picked = anchors(docs, width, gram)
-    same = Window.partitionBy("gram")
-    # rows that repeat doc_id and text share a position, so they do not make a gram repeated
-    spread = picked.withColumn("lo", F.min(F.struct("doc_id", "th", "at")).over(same)).withColumn("hi", F.max(F.struct("doc_id", "th", "at")).over(same))
-    spots = spread.where("lo != hi").groupBy("doc_id", "th").agg(F.collect_set("at").alias("spots"))
-    # equal windows have equal grams: everything from here to the marks happens on one partitioning by gram
-    segments = candidate_segments(docs, spots, width, gram).repartition("gram").dropDuplicates(["gram", "doc_id", "th", "at"])
+    place = F.struct("doc_id", "th", "at")
+    # rows that repeat doc_id and text share a position, so they do not make a gram repeated; a hot gram is one row here, and AQE splits its rows in the join
+    often = picked.groupBy("gram").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("gram")
+    spots = picked.join(often, "gram").groupBy("doc_id", "th").agg(F.collect_set("at").alias("spots"))
+    segments = candidate_segments(docs, spots, width, gram).dropDuplicates(["gram", "doc_id", "th", "at"])
     each = segments.select("gram", "doc_id", "th", "at", F.posexplode("hashes").alias("o", "h"))
-    order = Window.partitionBy("gram", "h").orderBy("doc_id", "th", F.col("at") + F.col("o"))
-    counted = each.withColumn("nth", F.row_number().over(order)).withColumn("more", F.lead(F.lit(True)).over(order))
-    bit = F.expr("shiftleft(1L, o)")
-    later, first = F.when(F.col("nth") > 1, bit).otherwise(F.lit(0)), F.when((F.col("nth") == 1) & F.col("more").isNotNull(), bit).otherwise(F.lit(0))
-    marks = counted.groupBy("gram", "doc_id", "th", "at").agg(F.bit_or(first).alias("first"), F.bit_or(later).alias("later")).where("first != 0 OR later != 0")
+    here = F.struct("doc_id", "th", (F.col("at") + F.col("o")).alias("pos"))
+    # equal windows: the first place and the last, in partial sums, joined back
+    twice = each.groupBy("gram", "h").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where("lo != hi").select("gram", "h", "lo")
+    bit, first = F.expr("shiftleft(1L, o)"), here == F.col("lo")
+    marks = each.join(twice, ["gram", "h"]).groupBy("gram", "doc_id", "th", "at").agg(F.bit_or(F.when(first, bit).otherwise(F.lit(0))).alias("first"), F.bit_or(F.when(first, F.lit(0)).otherwise(bit)).alias("later"))
     return intervals(marks.select("doc_id", "th", "at", "first", "later"), width)
 
 
