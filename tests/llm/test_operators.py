@@ -64,6 +64,34 @@ def test_mixing(spark, docs, empty, rows):
     assert mixing.mix_sources(empty).count() == 0 and mixing.mix_sources(docs, {"s0": 0.0}).count() == 0
 
 
+def test_mixing_against_brute_force(spark, docs, rows):
+    """Blocks rebuilt from the documents by the definition: the same streams, cut alike, each drawn as often as the draws say."""
+    size, seed = 64, mixing.SEED
+    out = mixing.mix_sources(docs, {"s0": 3.0, "s1": 1.0}, block_tokens=size, shard_blocks=50, bucket_bytes=2000).collect()
+    ranked = mixing.parts(docs, seed).withColumn("bytes", F.octet_length("text")).collect()
+    blocks = {}
+    for source in ("s0", "s1"):
+        mine = [r for r in ranked if r.source == source and r.text.split()]
+        buckets = -(-sum(r.bytes for r in mine) // 2000)
+        streams = {}
+        for r in sorted(mine, key=lambda r: (r.ord % buckets, r.ord, r.doc_id is not None, r.doc_id)):
+            streams.setdefault(r.ord % buckets, []).extend([*r.text.split(), mixing.END])
+        blocks[source] = [" ".join(s[k : k + size]) for _, s in sorted(streams.items()) for k in range(0, len(s), size)]
+    total = sum(map(len, blocks.values()))
+    assert len(out) == total and all(r.text == blocks[r.source][r.block] for r in out)
+    want, seen = {}, {"s0": 0, "s1": 0}
+    for shard in range(-(-total // 50)):
+        here = min(50, total - shard * 50)
+        n, slots, at = mixing.draw_counts(shard, here, [0.75, 0.25], seed), mixing.shuffled_slots(shard, here, seed), 0
+        for source, k in zip(("s0", "s1"), n.tolist()):
+            for t in range(seen[source], seen[source] + k):
+                turn, place = divmod(t, len(blocks[source]))
+                want[shard, int(slots[at])] = (source, int(mixing.permute(np.array([place]), len(blocks[source]), mixing.pass_key(seed, source, turn))[0]))
+                at += 1
+            seen[source] += k
+    assert {(r.shard, r.slot): (r.source, r.block) for r in out} == want
+
+
 def test_decontamination(spark, docs, empty, rows):
     rng = random.Random(9)
     items = [(i, document(rng, "en", 30)) for i in range(5)] + [(7, None), (8, ""), (None, "x y z")]
@@ -92,6 +120,42 @@ def test_decontamination_does_not_depend_on_slices(spark):
     assert [r.doc_id for r in decontaminate.decontaminated(near, bench, items_per_pass=7).collect()] == [3]
 
 
+def test_decontamination_against_brute_force(spark):
+    """Every window of every document against every item, by the definition: recall of near copies by similarity, and nothing false."""
+    rng = random.Random(31)
+    vocabulary = [f"v{k}" for k in range(900)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(20, 60)))) for i in range(25)]
+    docs = []
+    for i in range(160):
+        words = items[i % 25][1].split()
+        for _ in range(rng.randrange(0, 5)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        docs.append((i, " ".join([rng.choice(vocabulary) for _ in range(15)] + words + [rng.choice(vocabulary) for _ in range(9)])))
+    grams = lambda w: [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    df = {}
+    for _, t in items:
+        for g in set(grams(t.split())):
+            df[g] = df.get(g, 0) + 1
+    weight = lambda g: np.log1p(len(items) / df.get(g, 1))
+    want = {}
+    for d, text in docs:
+        w = text.split()
+        for i, item in items:
+            b = grams(item.split())
+            for k in range(len(w) - len(item.split()) + 1):
+                a = grams(w[k : k + len(item.split())])
+                if len(set(a) & set(b)) * 3 < len(b):
+                    continue
+                low = sum(weight(g) * min(a.count(g), b.count(g)) for g in set(a) | set(b))
+                high = sum(weight(g) * max(a.count(g), b.count(g)) for g in set(a) | set(b))
+                if low / high >= 0.7:
+                    want[d, i] = max(want.get((d, i), 0), low / high)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert not set(got) - set(want) and len(want) > 60 and all(got[k] == pytest.approx(want[k]) for k in got)
+    near = [k for k in want if want[k] < 0.8]
+    assert len(set(near) & set(got)) >= 0.9 * len(near) and set(want) - set(got) <= set(near)
+
+
 def test_pii(spark, docs, empty):
     text = 'Pay 4111 1111 1111 1111 or 4111111111111111, not 4111111111111112; +1 (803) 555-5351 on 2024-02-29 = 29.02.2024 = 02/29/2024, 13/13/2024, 123-45-6789, 8.8.8.8, 10.1.2.3, 999.1.1.1, ab.34@mail7.example.com, DE89 3704 0044 0532 0130 00, token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
     key = b"k"
