@@ -7,10 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.functions import tokens as K
 from palimpsest.functions.code import block_keystrokes, code_equal, keystrokes, normalized
 from palimpsest.functions.diff import line_diffs
 from palimpsest.operators import changes as C
 from palimpsest.operators import delta as D
+from palimpsest.operators import evaluation as E
+from palimpsest.operators import problems as Q
 from palimpsest.operators import retrieval as R
 from palimpsest.operators import scopes as P
 from palimpsest.operators import stats as S
@@ -114,7 +117,8 @@ def test_changes(spark):
 def test_code():
     assert normalized('def f():\n  "doc"\n  g(b=1, a=2)') == normalized("def f():\n    g(a=2, b=1)")
     assert normalized("def (") == "def ("
-    assert [keystrokes(a, b) for a, b in (("", ""), ("abc", "abc"), ("", "ab"), ("abc", "ab"), ("abcdef", ""))] == [0, 0, 2, 3, 2]
+    assert normalized("f(g(b=1, a=2))") != normalized("f(g(a=2, b=1))") and normalized("f(b=g(d=1, c=2), a=0)") == normalized("f(a=0, b=g(d=1, c=2))")
+    assert [keystrokes(a, b) for a, b in (("", ""), ("abc", "abc"), ("", "abc"), ("abc", ""), ("abc", "axc"), ("a" * 100, ""))] == [0, 0, 7, 7, 6, 10]
 
 
 def by_turn(spark, tmp_path, query, texts):
@@ -233,8 +237,119 @@ def test_git_history(spark, tmp_path):
     for text in ("x = 1\n", "x = 2\n"):
         (tmp_path / "m.py").write_text(text)
         git("add", "."), git("commit", "-qm", text.strip())
+    (tmp_path / "grün x.py").write_text("y = 1\n")
+    git("checkout", "-qb", "side", "HEAD~1"), git("add", "grün x.py"), git("commit", "-qm", "side")
+    git("checkout", "-q", "-"), git("merge", "-q", "--no-ff", "-m", "merged", "side")
+    merged = H.commits(spark, [str(tmp_path)])
+    # at a merge the history goes on with what was merged in
+    assert [r.message for r in merged.orderBy("seq").collect()] == ["x = 1", "side", "merged"]
+    assert ("grün x.py", 1, "y = 1\n") in {(r.path, r.seq, r.content) for r in H.file_versions(merged).collect()}
+    git("reset", "-q", "--hard", "HEAD~1")
     found = H.commits(spark, [str(tmp_path), str(tmp_path / "none")])
     assert [r.message for r in found.orderBy("seq").collect()] == ["x = 1", "x = 2"]
     assert [(r.path, r.seq, r.content) for r in H.file_versions(found).orderBy("seq").collect()] == [("m.py", 0, "x = 1\n"), ("m.py", 1, "x = 2\n")]
     H.save(found, str(tmp_path / "saved"), "seq")
     assert H.load(spark, str(tmp_path / "saved"), seq=1).count() == 1
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def words(*tokens):
+    return F.array(*map(F.lit, tokens)) if tokens else K.none()
+
+
+def test_text_scalars(spark):
+    a = F.array(*map(F.lit, "abc"))
+    assert one(spark, T.interleaved(a, F.array(F.lit("-"), F.lit("+")))) == "a-b+c" and one(spark, T.interleaved(a, F.array(F.lit("-")))) is None
+    assert one(spark, T.lines_of(a)) == "a\nb\nc\n" and one(spark, T.dotted(F.lit("a.b"))) == ["a", "b"]
+    assert one(spark, T.code_range(F.lit(3), F.lit(0), F.lit(4), F.lit(7))) == "[3:1--4:8]"
+    assert one(spark, T.valid_range(F.lit(3), F.lit(2))) is None and one(spark, T.valid_range(F.lit(2), F.lit(2))) == (2, 2)
+    both = T.merged([F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(3))])
+    assert one(spark, both) == {"a": 1, "b": 3} and one(spark, T.picked(both, F.array(F.lit("b")))) == {"b": 3}
+    assert one(spark, T.added_up(both, F.create_map(F.lit("c"), F.lit(5), F.lit("b"), F.lit(1)))) == {"a": 1, "b": 4, "c": 5}
+    assert one(spark, T.is_sorted(F.array(F.lit(1), F.lit(1), F.lit(2)))) and not one(spark, T.is_sorted(F.array(F.lit(2), F.lit(1))))
+    edits = F.array(*(F.struct(F.lit(s).alias("start"), F.lit(u).alias("until"), F.lit(p).alias("priority"), F.lit(t).alias("new")) for s, u, p, t in ((6, 11, 0, "there"), (0, 0, 1, "B"), (0, 0, 0, "A"))))
+    assert one(spark, T.replaced_at(F.lit("hello world!"), edits)) == "ABhello there!"
+    assert one(spark, T.shown_change(F.lit("A"), F.lit("f"), F.lit(None), F.lit("x\ny"), F.lit(None))) == "Added: f\n  x\n  y"
+
+
+def test_tokens(spark):
+    for text in ("", "a", "a b\n\n  c(1)\n", "\n"):
+        assert one(spark, K.decode(K.encode(F.lit(text)))) == text
+    assert one(spark, K.parted(words("a", K.NL, K.NL, "b", K.NL))) == [["a"], [], ["b"], []] and one(spark, K.parted(words())) == []
+    assert one(spark, K.line_range(words("a", K.NL, "b", K.NL, "c"), F.lit(1), F.lit(9))) == ["b", K.NL, "c"]
+    out = words("x", "<1>", K.ADD, "a", K.NL, "<0>", K.DEL, "<1>", "z", K.PAD)
+    assert [tuple(r) for r in one(spark, K.segments(out))] == [("<0>", [K.DEL]), ("<1>", ["z"])]
+    diff = words(K.ADD, "n", K.NL, K.DEL, "o", K.NL, "k", K.NL, K.ADD, "e")
+    io = one(spark, K.input_output(diff))
+    assert io.input == ["<0>", "o", K.NL, "<1>", "k", K.NL, "<2>"] and io.output == ["<0>", K.ADD, "n", K.NL, K.DEL, "<1>", "<2>", K.ADD, "e", K.NL]
+    back = one(spark, K.inlined(F.array(*map(F.lit, io.input)), F.array(*map(F.lit, io.output))))
+    assert back == [K.ADD, "n", K.NL, K.DEL, "o", K.NL, "k", K.NL, K.ADD, "e", K.NL]
+    assert tuple(one(spark, K.change_of(diff))) == ("o\nk", "n\nk\ne")
+    d = one(spark, K.delta_of(diff))
+    assert d.original == ["o", K.NL, "k"] and d.delta == {0: [[K.ADD, "n"], [K.DEL]], 2: [[K.ADD, "e"]]}
+    given = K.delta_of_output(F.array(F.lit(4), F.lit(7)), words("<9>", "drop", K.ADD, "n", K.NL, K.DEL, "<3>", "<5>", K.ADD, "x"))
+    assert one(spark, given) == {4: [[K.ADD, "n"], [K.DEL]]}
+    assert not one(spark, K.valid_output(words("<0>", K.DEL, "x"))) and one(spark, K.valid_output(words("<0>", K.DEL, "<1>")))
+    assert not one(spark, K.marks_known(words("<0>"), words("<1>"))) and one(spark, K.small_edit(words(K.ADD, K.DEL), 2))
+    assert one(spark, K.without_unknown(words("<1>", "<0>"), words("<0>", "a", "<2>", "c", "<1>", "b"))) == ["<1>", "b", "<0>", "a"]
+    turned = one(spark, K.renumbered(F.array(*(F.lit(f"<{i}>") for i in range(100)), F.lit("x")), F.lit(5)))
+    assert sorted(turned[:100]) == sorted(f"<{i}>" for i in range(100)) and turned[:100] != [f"<{i}>" for i in range(100)] and turned[100] == "x"
+    assert one(spark, K.compressed(words("a", K.NL, "b", K.NL, K.ADD, "c", K.NL, "d", K.NL, "e", K.NL, "f"), 1)) == [".", ".", ".", K.NL, "b", K.NL, K.ADD, "c", K.NL, "d", K.NL, ".", ".", "."]
+    assert one(spark, K.truncated(words(*"abcde"), F.lit(3))) == ["a", "b", K.EOS] and one(spark, K.truncated(words(*"abcde"), F.lit(3), keep_end=True)) == [K.BOS, "d", "e"]
+    assert one(spark, K.padded(F.array(words("a"), words("a", "b")))) == [["a", K.PAD], ["a", "b"]] and one(spark, K.round_up(F.lit(65))) == 128
+    assert one(spark, K.header_tokens(F.array(words("h")), F.lit(3), 50)) == ["h", K.NL, "#", " ", "offset", ":", " ", "3", K.NL]
+
+
+def test_evaluation(spark):
+    """The grouped delta functions against the relational ones, and a simulation by hand."""
+    rng = random.Random(17)
+    for _ in range(60):
+        diff = [(" ", f"t{k}") for k in range(rng.randrange(1, 7))]
+        edit = {}
+        for k in range(len(diff) + 1):
+            acts = [("+", f"a{k}.{j}") for j in range(rng.choice([0, 0, 1, 2]))] + ([("-", "")] if k < len(diff) and rng.random() < 0.4 else [])
+            if acts:
+                edit[k] = acts
+        keys = {(k, j) for k, acts in edit.items() for j in range(len(acts)) if rng.random() < 0.5}
+        two = E.put_in(E.put_in(diff, E.part_of(edit, keys)), E.rest_after(edit, keys))
+        assert [t for tag, t in two if tag != "-"] == [t for tag, t in E.put_in(diff, edit) if tag != "-"]
+        assert sorted(k for g in E.groups_of(edit) for k in g) == sorted((k, j) for k, acts in edit.items() for j in range(len(acts)))
+    lines = spark.createDataFrame([(1, k, t) for k, t in enumerate("abcdef")], "id long, line int, text string")
+    gold = spark.createDataFrame([(1, 0, 0, "+", "new"), (1, 0, 1, "-", ""), (1, 3, 0, "+", "bad"), (1, 5, 0, "-", "")], "id long, line int, act int, op string, text string")
+    wrong = lambda diff, edit: {k: [(op, "?" if t == "bad" else t) for op, t in acts] for k, acts in edit.items()}
+    got = {r.model: tuple(r)[2:] for r in E.multi_round(lines, gold, wrong).collect()}
+    assert got["diff_lines"] == (4, 3, 3, 2)
+    gains = E.edit_gains(lines, gold).first()
+    # "d e f" becomes "bad d e" by four edits, "a" becomes "new" by three
+    assert (gains.diff_lines, gains.levenshtein) == (4, 7)
+    assert E.exact_matches(lines, gold, gold).first().correct and not E.exact_matches(lines, gold, gold.where("line < 5")).first().correct
+    df = spark.createDataFrame([("a", k, float(c)) for k, c in enumerate([5, 5, 9, 20, 1, 1, 1])], "g string, k int, c double")
+    assert [r.batch for r in E.dynamic_batches(df, "g", ["k"], F.col("c"), 10.0, 2).orderBy("k").collect()] == [0, 0, 1, 2, 3, 3, 4]
+    rows = spark.createDataFrame([(0, "q1", ["r1", "r2"], "l1"), (0, "q2", ["r2", "r3"], "l2")], "b int, q string, r array<string>, l string")
+    p = E.packed(rows, ["b"], "q", "r", "l").first()
+    assert p.references == ["r1", "r2", "r3"] and p.reference_lists == [[0, 1], [1, 2]] and p.labels == ["l1", "l2"]
+
+
+def test_changed_spans_of_modules(spark):
+    before = "X = 1\n\ndef f(a):\n    return a\n\nclass K:\n    y = 2\n    def m(self):\n        return 1\n\ndef gone():\n    pass\n"
+    after = "X = 1  # same\n\ndef f(a):\n    b = a\n    return b\n\nclass K:\n    y = 3\n    def m(self):\n        return 1\n\ndef added():\n    pass\n"
+    rows = Q.spans_of_change(before, after)
+    assert [(r[0], r[3]) for r in rows] == [("f", "M"), ("K", "M"), ("gone", "D"), ("added", "A")]
+    assert rows[0][6:8] == ("    return a\n", "    b = a\n    return b\n") and rows[1][8] == ["class K:\n"]
+    assert ("", "M") in [(r[0], r[3]) for r in Q.spans_of_change(before, after, syntax_only=False)]
+    versions = spark.createDataFrame([("p", 0, "m", before), ("p", 1, "m", after), ("p", 2, "m", "def ("), ("p", 3, "m", None)], "project string, seq long, path string, content string")
+    spans = Q.commit_spans(versions)
+    kinds = {(r.seq, r.change, r.kind == "unparsed") for r in spans.collect()}
+    assert (2, "M", True) in kinds and (3, "D", True) in kinds and (1, "M", False) in kinds
+    found, context = Q.problems(spans)
+    assert {(r.seq, r.path) for r in found.collect()} == {(1, "f"), (1, "K")}
+    assert [(r.uid, r.item) for r in context.collect()] == [("m/K/statements/0", "m/f/body/0")]
+    made = {r.uid: r for r in Q.tokenized(found, context, spans).collect()}
+    assert made["m/K/statements/0"].header[:2] == ["class", " "] and len(made["m/K/statements/0"].references) == 1 and not made["m/f/body/0"].truncated
+    assert "<add>" in made["m/f/body/0"].output and made["m/f/body/0"].input[0] == "<0>"
+    assert Q.problem_stats(Q.tokenized(found, context, spans)).count() == 5
+    order = Q.ordered_modules(spark.createDataFrame([("p", "a", "b")], "project string, src string, dst string"), spark.createDataFrame([("p", "a"), ("p", "b")], "project string, module string"))
+    assert [r.module for r in order.orderBy("place").collect()] == ["b", "a"]
