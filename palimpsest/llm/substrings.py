@@ -75,10 +75,15 @@ def anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 #: Windows of one selected position that travel in a row; their marks are bits of a long.
 SEGMENT = 60
+#: A gram of more positions is hot: its windows travel one by one, to so many parts by their hash.
+HOT, PARTS = 20_000, 64
 
 
 def candidate_segments(docs: DataFrame, spots: DataFrame, width: int, gram: int) -> DataFrame:
-    """(gram, doc_id, th, at, hashes): hashes of the windows from token `at` on that select the same one of the document's spots."""
+    """(gram, hot, doc_id, th, at, hashes): hashes of the windows from token `at` on that select the same one of the document's spots.
+
+    A spot is a token's place in its document, or the complement of it where its gram is hot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,8 +93,9 @@ def candidate_segments(docs: DataFrame, spots: DataFrame, width: int, gram: int)
                 first, spot, whole = selected(c, width, gram)
                 mine = values[offsets[c.first] : offsets[c.first + c.n]]
                 owner = np.repeat(np.arange(c.n), np.diff(offsets[c.first : c.first + c.n + 1]))
-                wanted = np.zeros(len(c.hash), bool)
-                wanted[c.at[owner] + mine] = True
+                wanted, busy = np.zeros(len(c.hash), bool), np.zeros(len(c.hash), bool)
+                place = c.at[owner] + np.where(mine < 0, ~mine, mine)
+                wanted[place], busy[place] = True, mine < 0
                 hit = wanted[spot]
                 first, spot = first[hit], spot[hit]
                 if not len(first):
@@ -103,9 +109,9 @@ def candidate_segments(docs: DataFrame, spots: DataFrame, width: int, gram: int)
                     start = np.flatnonzero(run_ % SEGMENT == 0)
                 d = c.doc[first[start]]
                 rows = pa.ListArray.from_arrays(pa.array(np.concatenate([start, [len(spot)]]).astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(whole[spot[start]].view(np.int64)), pa.array(ids[c.first + d]), pa.array(th[c.first + d]), pa.array((first[start] - c.at[d]).astype(np.int32)), rows], ["gram", "doc_id", "th", "at", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(whole[spot[start]].view(np.int64)), pa.array(busy[spot[start]]), pa.array(ids[c.first + d]), pa.array(th[c.first + d]), pa.array((first[start] - c.at[d]).astype(np.int32)), rows], ["gram", "hot", "doc_id", "th", "at", "hashes"])
 
-    return text_rows(docs).join(spots, ["doc_id", "th"]).select("doc_id", "th", "text", "spots").mapInArrow(run, "gram long, doc_id long, th long, at int, hashes array<long>")
+    return text_rows(docs).join(spots, ["doc_id", "th"]).select("doc_id", "th", "text", "spots").mapInArrow(run, "gram long, hot boolean, doc_id long, th long, at int, hashes array<long>")
 
 
 def intervals(marks: DataFrame, width: int) -> DataFrame:
@@ -151,15 +157,22 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     picked = anchors(docs, width, gram)
     place = F.struct("doc_id", "th", "at")
     # rows that repeat doc_id and text share a position, so they do not make a gram repeated; a hot gram is one row here, and AQE splits its rows in the join
-    often = picked.groupBy("gram").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("gram")
-    spots = picked.join(often, "gram").groupBy("doc_id", "th").agg(F.collect_set("at").alias("spots"))
-    segments = candidate_segments(docs, spots, width, gram).dropDuplicates(["gram", "doc_id", "th", "at"])
-    each = segments.select("gram", "doc_id", "th", "at", F.posexplode("hashes").alias("o", "h"))
-    here = F.struct("doc_id", "th", (F.col("at") + F.col("o")).alias("pos"))
-    # equal windows: the first place and the last, in partial sums, joined back
-    twice = each.groupBy("gram", "h").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where("lo != hi").select("gram", "h", "lo")
-    bit, first = F.expr("shiftleft(1L, o)"), here == F.col("lo")
-    marks = each.join(twice, ["gram", "h"]).groupBy("gram", "doc_id", "th", "at").agg(F.bit_or(F.when(first, bit).otherwise(F.lit(0))).alias("first"), F.bit_or(F.when(first, F.lit(0)).otherwise(bit)).alias("later"))
+    often = picked.groupBy("gram").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("gram", (F.col("n") > HOT).alias("hot"))
+    spot = F.when(F.col("hot"), F.bitwise_not("at")).otherwise(F.col("at"))
+    spots = picked.join(often, "gram").groupBy("doc_id", "th").agg(F.collect_set(spot).alias("spots"))
+    # equal windows have equal grams and equal hashes: everything from here to the marks happens on one partitioning by gram and part
+    segments = candidate_segments(docs, spots, width, gram)
+    alone = F.transform("hashes", lambda h, o: F.struct(F.pmod(h, F.lit(PARTS)).cast("int").alias("part"), o.cast("int").alias("from"), F.array(h).alias("hashes")))
+    whole = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("from"), F.col("hashes")))
+    keyed = segments.select("gram", "doc_id", "th", "at", F.explode(F.when(F.col("hot"), alone).otherwise(whole)).alias("s")).select("gram", "doc_id", "th", "at", "s.*")
+    keyed = keyed.repartition("gram", "part").dropDuplicates(["gram", "part", "doc_id", "th", "at", "from"])
+    each = keyed.select("gram", "part", "doc_id", "th", "at", "from", F.posexplode("hashes").alias("k", "h")).withColumn("o", F.col("from") + F.col("k"))
+    order = Window.partitionBy("gram", "part", "h").orderBy("doc_id", "th", F.col("at") + F.col("o"))
+    counted = each.withColumn("nth", F.row_number().over(order)).withColumn("more", F.lead(F.lit(True)).over(order))
+    bit = F.expr("shiftleft(1L, o)")
+    later, first = F.when(F.col("nth") > 1, bit).otherwise(F.lit(0)), F.when((F.col("nth") == 1) & F.col("more").isNotNull(), bit).otherwise(F.lit(0))
+    marks = counted.groupBy("gram", "part", "doc_id", "th", "at").agg(F.bit_or(first).alias("first"), F.bit_or(later).alias("later")).where("first != 0 OR later != 0")
+    marks = marks.repartition("doc_id", "th").groupBy("doc_id", "th", "at").agg(F.bit_or("first").alias("first"), F.bit_or("later").alias("later"))
     return intervals(marks.select("doc_id", "th", "at", "first", "later"), width)
 
 

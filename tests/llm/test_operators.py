@@ -341,6 +341,37 @@ def test_substrings(spark, docs, empty):
     assert substrings.repeated_intervals(empty).count() == 0
 
 
+def test_substrings_of_hot_grams(spark, monkeypatch):
+    """The same intervals whether a gram counts as hot or not, and those of a brute-force count of windows."""
+    rng = random.Random(23)
+    passage, other = document(rng, "en", 70), document(rng, "de", 55)
+    rows = [(i, document(rng) + " " + rng.choice([passage, passage[: len(passage) // 2] + " " + other, other]) + " " + document(rng, "fr", 20)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.copy, r.start_token, r.end_token) for r in substrings.repeated_intervals(df).collect()}
+    monkeypatch.setattr(substrings, "HOT", 3)
+    assert found == {(r.doc_id, r.copy, r.start_token, r.end_token) for r in substrings.repeated_intervals(df).collect()}
+    seen, marks = {}, {}
+    for i, text in rows:
+        w = text.lower().split()
+        for k in range(len(w) - substrings.WIDTH + 1):
+            seen.setdefault(tuple(w[k : k + substrings.WIDTH]), []).append((i, k))
+    for places in seen.values():
+        if len(places) > 1:
+            for n, (i, k) in enumerate(sorted(places)):
+                marks.setdefault((i, "later" if n else "first"), []).append(k)
+    want = set()
+    for (i, copy), starts in marks.items():
+        a = b = None
+        for k in sorted(starts):
+            if a is None or k > b:
+                if a is not None:
+                    want.add((i, copy, a, b))
+                a = k
+            b = k + substrings.WIDTH
+        want.add((i, copy, a, b))
+    assert found == want and len(want) > 30
+
+
 def test_lines(spark, empty):
     df = spark.createDataFrame([(1, "a\nb\nc\nx", "k", 0), (2, "y\na\n\nb\nc", "k", 0), (3, "a\nb", "k", 0), (4, None, "k", 0), (5, "", "k", 0), (6, "a\nb\nc", "k", 0), (None, "a\nb\nc", "k", 0), (1, "a\nb\nc\nx", "k", 0)], "doc_id long, text string, h string, n_chars long")
     got = sorted(((r.doc_id, r.text) for r in lines.line_dedup(df).collect()), key=str)
