@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="palimpsest-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir()
     return path.rstrip("/")

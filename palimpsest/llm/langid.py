@@ -129,7 +129,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model | No
                     total[name] = total.get(name, 0) + np.bincount(grams[mine], minlength=1 << BITS)
         for name, c in total.items():
             some = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some.astype(np.int32)), pa.array(c[some])], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(c[some])], ["lang", "gram", "n"])
 
     table = picked.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # at most languages x 2**BITS rows
     if not table.num_rows:

@@ -398,3 +398,22 @@ def test_pipeline(spark, tmp_path):
     assert kept[1] - kept[2] == {90, 91} and kept[2] - kept[3] == {92}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {d for r in out for d in r.doc_ids} <= kept[3] and len(corpus_pipeline.STAGES) == 5
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_pipeline_of_odd_rows(spark, tmp_path, some):
+    """Nulls, empty and very long texts, repeated rows, an empty table, a clashing column: each stage's rows by hand."""
+    text = "the house stands near old trees and every child knows the way " * 3
+    long = "der alte baum steht nahe dem haus und das kind kennt den weg " * 4000
+    rows = [(1, text, "en", "a"), (2, text, "en", "a"), (2, text, "en", "a"), (None, text + " x", "en", None), (3, None, "de", "b"), (4, "", None, "b"), (5, long, "de", "b"), (6, "12 34", "en", "b"), (7, "le chat est dans la maison avec le chien " * 5, "fr", "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, drop string"
+    spark.createDataFrame([(*r, 9, "k") for r in rows] if some else [], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, None), (1, "one two three four five six")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns, kept = docs.columns, []
+    for _, apply in corpus_pipeline.STAGES[:-1]:
+        docs = apply(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+        kept.append(sorted((r.doc_id or 0 for r in docs.collect())))
+    assert kept == ([[0, 1, 2, 2, 5, 7], [0, 1, 2, 2, 5, 7], [0, 1, 5, 7], [0, 1, 5, 7]] if some else [[]] * 4)
+    assert (corpus_pipeline.run(spark, str(tmp_path)).count() > 40) == some
