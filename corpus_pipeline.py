@@ -7,7 +7,12 @@
 5. source mixing: the rest is packed into blocks and drawn to target weights
 
 All stages but the last return the columns of documents. SQL cannot express the stages (trained
-classifier, SimHash, Feistel permutations), so ORACLE_SQL is None; tests hold every stage against a brute-force version.
+classifier, SimHash, Feistel permutations), so ORACLE_SQL is None; tests run the stages on planted cases, and hold the operators of stages 3, 4 and 5
+against brute-force versions.
+
+Defined cases: documents with null, empty or letterless text go at stage 1; a null doc_id or source passes all filters (mixing calls such a source '(none)'); rows that
+repeat a doc_id stay or go together at stages 3 and 4; very long texts are read whole; of equal texts the one of the least doc_id stays; an empty table gives no
+blocks; extra columns, whatever their names, pass stages 1 to 4 unchanged and end there.
 """
 
 from __future__ import annotations
