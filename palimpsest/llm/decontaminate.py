@@ -6,13 +6,14 @@ gets a 64-bit SimHash of its weighted shingles. The fingerprint is cut into radi
 fingerprints within the radius agree on a block at least, so looking up each block finds all of
 them. The radius (21 at the threshold of 0.7) lies 2.5 standard deviations above the distance that is expected of two windows at the threshold; beyond it
 are under 1 % of pairs just at the threshold, and next to none of more similar ones. Blocks are narrow at such a radius (3 bits), so they prune
-little, and the weight bound below does most of the work. Candidates are then compared exactly: weighted Jaccard similarity of the shingle multisets,
+little, and the weight bounds below do most of the work. Candidates are then compared exactly: weighted Jaccard similarity of the shingle multisets,
 at least `threshold`. A shingle weighs ln(1 + items / items that hold it); one that no item holds
 weighs as one that a single item holds.
 
-Before hashing, windows are left out whose weight of shingles known to any item of the slice is under `threshold`
-of their whole weight: similarity with one of them cannot be above that share, so nothing that could
-be verified is lost. The benchmark is searched in slices of at most `items_per_pass` items, a larger one
+Before hashing, windows are left out by bounds that lose nothing which could be verified. A window similar to an item shares `threshold` of the
+item's weight, so it holds one of the item's rarest shingles, taken until the others weigh less than that: only windows of the item's length over such
+a shingle are looked at. For each of them and that very item, the weight of the window's shingles that the item holds bounds what both share, and with both
+whole weights the similarity. So a copy of one item is not searched at the lengths of all others. The benchmark is searched in slices of at most `items_per_pass` items, a larger one
 in several passes over the documents. Every slice has the weights of all the benchmark's shingles, so
 hits do not depend on the slicing; the weights travel with each slice and grow with the benchmark.
 
@@ -38,6 +39,8 @@ from .tokens import U64, Chunk, chunks, windows
 
 THRESHOLD, SHINGLE, ITEMS_PER_PASS = 0.7, 3, 20_000
 HITS = "doc_id long, item_id long, start_token long, n_tokens long, hamming int, similarity double"
+#: Grams that are looked at together, for the memory of a task.
+LOT = 1 << 18
 _BITS = np.arange(64, dtype=U64)
 
 
@@ -57,6 +60,11 @@ def simhash(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return ((total > 0).astype(U64) << _BITS).sum(axis=1, dtype=U64)
 
 
+def in_lots(sizes: np.ndarray, limit: int) -> list[np.ndarray]:
+    """Indexes of consecutive sizes, split where about `limit` is reached."""
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // limit)) + 1)
+
+
 def block_bounds(radius: int) -> list[tuple[int, int]]:
     cuts = np.linspace(0, 64, radius + 2).round().astype(int)
     return list(zip(cuts[:-1].tolist(), np.diff(cuts).tolist()))
@@ -90,12 +98,28 @@ class Items:
         self.other = math.log1p(total)
         self.weight = {k: {s: math.log1p(total / d) for s, d in df.get(k, {}).items()} for k in self.groups}
         self.known, self.filter = {}, {}
+        self.size = np.array([len(g) for g in self.shingles])
+        self.mass = np.zeros(len(ids))
+        self.held, self.rare = {}, {}
         for k, by in self.groups.items():
             here = np.array(sorted(self.weight[k]), U64)
-            own = np.isin(here, np.concatenate([self.shingles[i] for g in by.values() for i in g]))
-            self.known[k] = (here, np.array([self.weight[k][s] for s in here.tolist()]), own)
+            w = np.array([self.weight[k][s] for s in here.tolist()])
+            self.known[k] = (here, w)
             self.filter[k] = np.zeros(1 << max(16, (len(here) * 16).bit_length()), bool)
             self.filter[k][here & U64(len(self.filter[k]) - 1)] = True
+            held, rare = [], []
+            for i in sorted(i for group in by.values() for i in group):
+                one, count = np.unique(np.searchsorted(here, self.shingles[i]), return_counts=True)
+                self.mass[i] = (w[one] * count).sum()
+                order = np.argsort(-w[one], kind="stable")
+                rest = self.mass[i] - np.cumsum((w[one] * count)[order])
+                held.append(i * len(here) + one)
+                first = order[: 1 + (rest >= threshold * self.mass[i] - 1e-6).sum()]
+                rare.append(np.stack([one[first], np.full(len(first), i)]))
+            self.held[k] = np.concatenate(held)
+            at, items = np.concatenate(rare, axis=1)
+            order = np.argsort(at, kind="stable")
+            self.rare[k] = (np.searchsorted(at[order], np.arange(len(here) + 1)), items[order])
         self.prints, self.blocks = {}, {}
         for k, by in self.groups.items():
             for n, group in by.items():
@@ -107,7 +131,7 @@ class Items:
                     self.blocks[k, n, b] = (low, bits, value[order], order)
 
     def _weights(self, k: int, rows: np.ndarray) -> np.ndarray:
-        here, w, _ = self.known[k]
+        here, w = self.known[k]
         at = np.searchsorted(here, rows).clip(0, len(here) - 1)
         return np.where(here[at] == rows, w[at], self.other)
 
@@ -118,28 +142,62 @@ class Items:
             if not len(at):
                 continue
             maybe = np.flatnonzero(self.filter[k][grams & U64(len(self.filter[k]) - 1)])
-            here, w, own = self.known[k]
+            here, w = self.known[k]
             spot = np.searchsorted(here, grams[maybe]).clip(0, len(here) - 1)
             hit = here[spot] == grams[maybe]
             maybe, spot = maybe[hit], spot[hit]
-            if not len(maybe):
+            cuts = self.rare[k][0]
+            calls = np.flatnonzero(cuts[spot + 1] > cuts[spot])
+            if not len(calls):
                 continue
-            shared, whole = np.zeros(len(grams)), np.full(len(grams), self.other)
-            shared[maybe] = np.where(own[spot], w[spot], 0.0)
-            whole[maybe] = w[spot]
-            sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (shared - self.threshold * whole,)][0]
+            place, whole, shared = np.full(len(grams), -1), np.full(len(grams), self.other), np.zeros(len(grams))
+            place[maybe], whole[maybe], shared[maybe] = spot, w[spot], w[spot]
+            sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (whole, shared)]
             doc = c.doc[at]
-            for n, group in by.items():
-                m = n - k + 1
-                if m > len(grams):
-                    continue
-                first = np.flatnonzero(sums[m:] - sums[:-m] >= -1e-6)
-                first = first[doc[first] == doc[first + m - 1]]
-                for lot in np.array_split(first, len(first) // 2000 + 1):
-                    if len(lot):
-                        yield from self._verify(c, k, n, group, grams, at, doc, lot)
-
-    def _verify(self, c, k, n, group, grams, at, doc, first):
+            edge = np.searchsorted(doc, np.arange(c.n + 1))
+            for lot in in_lots(cuts[spot[calls] + 1] - cuts[spot[calls]], LOT):
+                for item, first in self._possible(k, maybe[calls[lot]], spot[calls[lot]], place, sums, doc, edge):
+                    for m in np.unique(self.size[item]).tolist():
+                        mine = self.size[item] == m
+                        pairs = np.unique(first[mine] * len(self.ids) + item[mine])
+                        starts = np.unique(first[mine])
+                        for few in np.array_split(starts, len(starts) * m // (LOT // 4) + 1):
+                            if len(few):
+                                yield from self._verify(c, k, m + k - 1, by[m + k - 1], grams, at, doc, few, pairs)
+
+    def _possible(self, k, at, spot, place, sums, doc, edge) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Items and first grams of windows over the grams `at`, rare ones of the item, that can be similar to it by weight."""
+        (cuts, items), (_, w), (whole, shared) = self.rare[k], self.known[k], sums
+        count = cuts[spot + 1] - cuts[spot]
+        item = items[np.arange(count.sum()) - np.repeat(count.cumsum() - count - cuts[spot], count)]
+        at = np.repeat(at, count)
+        m = self.size[item]
+        low, high = np.maximum(at - m + 1, edge[doc[at]]), np.minimum(at, edge[doc[at] + 1] - m)
+        good = low <= high
+        good[good] = (shared[high[good] + m[good]] - shared[low[good]]) >= self.threshold * self.mass[item[good]] - 1e-6
+        order = np.flatnonzero(good)
+        order = order[np.argsort(item[order], kind="stable")]
+        item, low, high = item[order], low[order], high[order]
+        if not len(item):
+            return
+        # runs of overlapping stretches of one item; ends rise with the position, and no stretch leaves its document
+        new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (low[1:] > high[:-1])]))
+        runs = item[new], low[new], high[np.append(new[1:], len(high)) - 1]
+        for lot in in_lots(runs[2] - runs[1] + self.size[runs[0]], LOT):
+            item, low, high = (x[lot] for x in runs)
+            m, n = self.size[item], high - low + 1
+            skip = (m + n - 1).cumsum() - (m + n - 1)
+            gram = place[np.arange((m + n - 1).sum()) - np.repeat(skip - low, m + n - 1)]
+            key = np.repeat(item, m + n - 1) * len(w) + gram
+            held = self.held[k][np.searchsorted(self.held[k], key).clip(0, len(self.held[k]) - 1)] == key
+            both = np.concatenate([[0.0], np.cumsum(np.where(held & (gram >= 0), w[gram], 0.0))])
+            step = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+            item, m, first, begin = np.repeat(item, n), np.repeat(m, n), np.repeat(low, n) + step, np.repeat(skip, n) + step
+            both = np.minimum(both[begin + m] - both[begin], self.mass[item])
+            good = both * (1 + self.threshold) >= self.threshold * (whole[first + m] - whole[first] + self.mass[item]) - 1e-6
+            yield item[good], first[good]
+
+    def _verify(self, c, k, n, group, grams, at, doc, first, possible):
         rows = grams[first[:, None] + np.arange(n - k + 1)]
         prints = simhash(rows, self._weights(k, rows))
         seen = np.zeros(len(first) * len(group), bool)
@@ -154,7 +212,7 @@ class Items:
         pairs = np.flatnonzero(seen)
         who, which = pairs // len(group), pairs % len(group)
         far = np.bitwise_count(prints[who] ^ self.prints[k, n][which])
-        near = far <= self.radius
+        near = (far <= self.radius) & np.isin(first[who] * len(self.ids) + np.array(group)[which], possible)
         for a, g, h in zip(who[near].tolist(), which[near].tolist(), far[near].tolist()):
             i = group[g]
             s = weighted_jaccard(rows[a], self.shingles[i], self.weight[k], self.other)

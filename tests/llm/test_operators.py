@@ -2,13 +2,16 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palimpsest.llm import decontaminate, embeddings, jaccard, langid, lines, mixing, pii, substrings, toxicity, urlrep
+from palimpsest.llm.tokens import chunks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep string, size int, bits string"
 WORDS = {
@@ -156,6 +159,48 @@ def test_decontamination_against_brute_force(spark):
     assert len(set(near) & set(got)) >= 0.9 * len(near) and set(want) - set(got) <= set(near)
 
 
+def test_decontamination_fingerprints_possible_windows_only(spark, monkeypatch):
+    """A copy of one item is not searched at the lengths of all the others, nor where a window shares too little with an item of its length."""
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    items = [(n, words(f"i{n}x", n)) for n in range(15, 60)]
+    (index,) = decontaminate.index_items(spark.createDataFrame(items, "item_id long, text string"))
+    hashed, simhash = [], decontaminate.simhash
+    monkeypatch.setattr(decontaminate, "simhash", lambda rows, weights: hashed.append(rows.shape) or simhash(rows, weights))
+    text = f"{words('a', 300)} {items[40][1]} {words('b', 300)} {words('i30x', 20)} {words('c', 300)}"
+    hits = [h for c in chunks(pa.array([text])) for h in index.search(c)]
+    assert {h[1] for h in hits} == {55} and max(h[-1] for h in hits) == pytest.approx(1.0)
+    assert {m for _, m in hashed} == {53} and sum(n for n, _ in hashed) < 25
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.7, 1.0])
+def test_decontamination_bounds_lose_nothing(spark, threshold):
+    """Without the loss of fingerprints (a radius of 63) every window that is similar enough is found: repeated and common shingles, items under a shingle, equal items."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(12)]
+    text = lambda n: [min(rng.choice(vocabulary), rng.choice(vocabulary)) for _ in range(n)]
+    items = [(i, text(rng.choice([1, 2, 3, 4, 7, 12, 20]))) for i in range(40)]
+    items += [(40, items[3][1]), (41, ["w0"] * 9), (42, text(6) * 3)]
+    docs = [text(rng.randrange(30)) + rng.choice(items)[1] + text(rng.randrange(9)) for _ in range(40)] + [[], ["w0"] * 30]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    grams = lambda t, k: Counter(tuple(t[j : j + k]) for j in range(len(t) - k + 1))
+    df = Counter((len(g), g) for _, t in items for g in grams(t, min(3, len(t))))
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, item in items:
+            n, k = len(item), min(3, len(item))
+            b = grams(item, k)
+            for at in range(len(doc) - n + 1):
+                a = grams(doc[at : at + n], k)
+                weight = lambda count: sum(np.log1p(len(items) / max(1, df[k, g])) * m for g, m in count.items())  # noqa: B023, E731
+                similarity = weight(a & b) / weight(a | b)
+                if similarity >= threshold - 1e-9:
+                    want[d, i, at, n] = similarity
+    for per_pass in (100, 9):
+        got = {(c.first + d, i, at, n): s for index in decontaminate.index_items(bench, 63, threshold, items_per_pass=per_pass) for c in chunks(pa.array(map(" ".join, docs))) for d, i, at, n, _, s in index.search(c)}
+        assert got.keys() == want.keys()
+        assert len(got) > 100 and all(s == pytest.approx(want[x]) for x, s in got.items())
+
+
 def test_pii(spark, docs, empty):
     text = 'Pay 4111 1111 1111 1111 or 4111111111111111, not 4111111111111112; +1 (803) 555-5351 on 2024-02-29 = 29.02.2024 = 02/29/2024, 13/13/2024, 123-45-6789, 8.8.8.8, 10.1.2.3, 999.1.1.1, ab.34@mail7.example.com, DE89 3704 0044 0532 0130 00, token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
     key = b"k"
