@@ -11,12 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.session import ship
 
+from .tokens import CHUNK
+
+ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches end once they hold CHUNK bytes, unless the session has a limit of its own. No row is cut, and no result depends on it.
+
+    A batch of 10,000 whole texts, Spark's default, is held several times outside the executor's heap, and the memory freed later is not all given back.
+    """
+    if spark.conf.get(ARROW_LIMIT, None) is None:
+        spark.conf.set(ARROW_LIMIT, str(CHUNK))
+
+
 def unused(name: str, columns: list[str]) -> str:
     """A column name made from `name` that none of the columns has, whatever the case of its letters."""
     taken = {c.lower() for c in columns}

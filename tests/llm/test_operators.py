@@ -445,6 +445,26 @@ def test_pipeline(spark, tmp_path):
     assert {d for r in out for d in r.doc_ids} <= kept[3] and len(corpus_pipeline.STAGES) == 5
 
 
+@pytest.mark.parametrize("name, apply", corpus_pipeline.STAGES)
+def test_pipeline_bounds_arrow_batches(spark, tmp_path, rows, name, apply):
+    spark.createDataFrame([(1, "nothing like the texts at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    few = spark.createDataFrame(rows[:3], DOCS)
+    texts = spark.range(400, numPartitions=1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))
+    sizes = lambda: texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long").collect()
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    try:
+        apply(spark, few, str(tmp_path))
+        got = sizes()
+        assert sum(r.n for r in got) == 400 and max(r.size for r in got) < 1.5 * (1 << 20)
+        spark.conf.set(limit, "2m")  # the session's own limit stays
+        apply(spark, few, str(tmp_path))
+        got = sizes()
+        assert sum(r.n for r in got) == 400 and max(r.size for r in got) > 1.5 * (1 << 20)
+    finally:
+        spark.conf.unset(limit)
+
+
 @pytest.mark.parametrize("some", [True, False])
 def test_pipeline_of_odd_rows(spark, tmp_path, some):
     """Nulls, empty and very long texts, repeated rows, an empty table, a clashing column: each stage's rows by hand."""
