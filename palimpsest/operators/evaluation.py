@@ -7,8 +7,10 @@ all else is relational.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,24 +135,36 @@ def rest_after(edit: Edit, keys: set[Key]) -> Edit:
     return out
 
 
-def gain_of(diff: Diff, edit: Edit) -> dict[str, int]:
-    """Gains of one edit of an inline diff, by cost model."""
+MODELS = ("diff_lines", "keystrokes")
+
+
+def gain_of(diff: Diff, edit: Edit, models: tuple[str, ...] = MODELS) -> dict[str, int]:
+    """Gains of one edit of an inline diff, by cost model; only those asked for are computed."""
     if not edit:
-        return {"diff_lines": 0, "keystrokes": 0}
+        return dict.fromkeys(models, 0)
+    return {model: (changed_count(edit) if model == "diff_lines" else typed_keys(diff, edit)) for model in models}
+
+
+def changed_count(edit: Edit) -> int:
+    return sum(map(len, edit.values()))
+
+
+def typed_keys(diff: Diff, edit: Edit) -> int:
+    """Keystrokes over the lines from the first to the last that the edit names."""
     a, b = min(edit), max(edit)
     part = diff[a : b + 1]
     old = "\n".join(t for tag, t in part if tag != "-")
     new = "\n".join(t for tag, t in put_in(part, {k - a: v for k, v in edit.items()}) if tag != "-")
-    return {"diff_lines": sum(map(len, edit.values())), "keystrokes": text_keystrokes([(old, new)])[0]}
+    return text_keystrokes([(old, new)])[0]
 
 
-def rounds_of(diff: Diff, edit: Edit, predict: Callable[[Diff, Edit], Edit], strategy: str, most: int) -> dict[str, tuple[int, int, int, int]]:
-    """(label, first, total gain, rounds) by cost model of one text.
+def rounds_of(diff: Diff, edit: Edit, predict: Callable[[Diff, Edit], Edit], strategy: str, most: int, models: tuple[str, ...] = MODELS) -> dict[str, tuple[int, int, int, int]]:
+    """(label, first, total gain, rounds) of one text, by each of the cost models.
 
     In each round the groups that the prediction has whole are accepted; where there are none, one group is made by hand and counts
     against the gain: the first, or that of the least keystrokes. What is left after the last round is made by hand too.
     """
-    label = gain_of(diff, edit)
+    label = gain_of(diff, edit, models)
     gains, first, rounds = dict(label), dict.fromkeys(label, 0), 0
     while edit and rounds < most:
         rounds += 1
@@ -159,14 +173,14 @@ def rounds_of(diff: Diff, edit: Edit, predict: Callable[[Diff, Edit], Edit], str
         keys = {k for g in right for k in g}
         if not keys:
             groups = groups_of(edit)
-            pick = groups[0] if strategy == "pick_first" else min(groups, key=lambda g: gain_of(diff, part_of(edit, set(g)))["keystrokes"])
+            pick = groups[0] if strategy == "pick_first" else min(groups, key=lambda g: typed_keys(diff, part_of(edit, set(g))))
             keys = set(pick)
-            for name, g in gain_of(diff, part_of(edit, keys)).items():
+            for name, g in gain_of(diff, part_of(edit, keys), models).items():
                 gains[name] -= g
         elif rounds == 1:
-            first = gain_of(diff, part_of(edit, keys))
+            first = gain_of(diff, part_of(edit, keys), models)
         diff, edit = put_in(diff, part_of(edit, keys)), rest_after(edit, keys)
-    for name, g in gain_of(diff, edit).items():
+    for name, g in gain_of(diff, edit, models).items():
         gains[name] -= g
     return {name: (label[name], first[name], gains[name], rounds) for name in label}
 
@@ -174,22 +188,46 @@ def rounds_of(diff: Diff, edit: Edit, predict: Callable[[Diff, Edit], Edit], str
 ROUNDS = "id long, model string, label_gain long, first_gain long, total_gain long, rounds int"
 
 
-def multi_round(lines: DataFrame, delta: DataFrame, predict: Callable[[Diff, Edit], Edit], strategy: str = "pick_first", most: int = 6) -> DataFrame:
-    """ROUNDS: the simulated gains of every text with a delta. predict(inline diff, what is left) stands for the model; one text is one group."""
+def multi_round(lines: DataFrame, delta: DataFrame, predict: Callable[[Diff, Edit], Edit], strategy: str = "pick_first", most: int = 6, models: tuple[str, ...] = MODELS) -> DataFrame:
+    """ROUNDS: the simulated gains of every text with a delta, by each of the cost models. predict(inline diff, what is left) stands for the model.
+
+    Lines and actions stream by sorted; a task holds one text and one Arrow batch.
+    """
     if strategy not in ("pick_first", "least_effort"):
         raise ValueError("strategy must be pick_first or least_effort")
-
-    def run(text: pd.DataFrame, acts: pd.DataFrame) -> pd.DataFrame:
-        if not len(acts):
-            return pd.DataFrame([], columns=["id", "model", "label_gain", "first_gain", "total_gain", "rounds"])
-        diff = [(" ", t) for t in text.sort_values("line")["text"]]
-        edit: Edit = {}
-        for line, op, t in acts.sort_values(["line", "act"])[["line", "op", "text"]].itertuples(index=False):
-            edit.setdefault(line, []).append((op, t))
-        found = rounds_of(diff, edit, predict, strategy, most)
-        return pd.DataFrame([(acts["id"].iloc[0], name, *v) for name, v in found.items()], columns=["id", "model", "label_gain", "first_gain", "total_gain", "rounds"])
-
-    return lines.select("id", "line", "text").groupBy("id").cogroup(delta.select("id", "line", "act", "op", "text").groupBy("id")).applyInPandas(run, ROUNDS)
+    if not models or set(models) - set(MODELS):
+        raise ValueError(f"models must be some of {', '.join(MODELS)}")
+    columns = ("id", "line", "act", "op", "text")
+    base = lines.select("id", F.col("line").cast("long").alias("line"), F.lit(D.BASE).alias("act"), F.lit(None).cast("string").alias("op"), "text")
+    acts = delta.select("id", F.col("line").cast("long").alias("line"), F.col("act").cast("int").alias("act"), "op", "text")
+    rows = base.unionByName(acts).repartition("id").sortWithinPartitions("id", "line", "act")
+
+    def run(lots: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (row for lot in lots for row in zip(*(lot.column(c).to_pylist() for c in columns)))
+        out: list[tuple] = []
+        for id_, group in groupby(stream, key=lambda r: r[0]):
+            diff: Diff = []
+            edit: Edit = {}
+            for _, line, _, op, text in group:
+                if op is None:
+                    diff.append((" ", text))
+                else:
+                    edit.setdefault(line, []).append((op, text))
+            if edit:
+                out += [(id_, name, *v) for name, v in rounds_of(diff, edit, predict, strategy, most, models).items()]
+            if len(out) >= 1000:
+                yield rounds_batch(out)
+                out = []
+        if out:
+            yield rounds_batch(out)
+
+    return rows.mapInArrow(run, ROUNDS)
+
+
+def rounds_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    names = [c.split()[0] for c in ROUNDS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def strategy_report(results: DataFrame, by: list[str]) -> DataFrame:

@@ -191,7 +191,7 @@ s AS (SELECT id, sum(n) AS label, coalesce(sum(n) FILTER (NOT wrong), 0) AS ok,
 SELECT id, 'diff_lines' AS model, label::BIGINT AS label_gain, ok::BIGINT AS first_gain, ok::BIGINT AS total_gain, least(6, r + CASE WHEN a > 0 THEN 1 ELSE 0 END)::BIGINT AS rounds FROM s""")
 def multi_round_gain(spark, sf_dir):
     """Six rounds at most of a model that has every third add wrong, gains in changed lines."""
-    return ints(E.multi_round(*both(spark, sf_dir), guess).where("model = 'diff_lines'"), "rounds")
+    return ints(E.multi_round(*both(spark, sf_dir), guess, models=("diff_lines",)), "rounds")
 
 
 @query()

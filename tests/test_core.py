@@ -20,6 +20,7 @@ from palimpsest.operators import stats as S
 from palimpsest.plans import changes as plans
 from palimpsest.plans import curation
 from palimpsest.plans import stats as plan_stats
+from palimpsest.plans import tokens as token_plans
 from palimpsest.sources import history as H
 from palimpsest.streaming import online as O
 
@@ -333,6 +334,23 @@ def test_evaluation(spark):
     assert p.references == ["r1", "r2", "r3"] and p.reference_lists == [[0, 1], [1, 2]] and p.labels == ["l1", "l2"]
 
 
+def test_rounds_of_one_model_cost_no_other(spark, monkeypatch):
+    """A model that was not asked for is not computed, and asking for one changes no gain."""
+    diff = [(" ", f"line {k % 3}") for k in range(40)]
+    edit = {k: [("+", f"+ins {k}"), ("-", "")] if k % 4 == 0 else [("-", "")] for k in range(0, 40, 2)}
+    both = {s: E.rounds_of(diff, edit, token_plans.guess, s, 6) for s in ("pick_first", "least_effort")}
+    assert E.rounds_of(diff, edit, token_plans.guess, "least_effort", 6, ("keystrokes",)) == {"keystrokes": both["least_effort"]["keystrokes"]}
+    # texts and deltas in no order, a text without a delta, a delta of a text without lines
+    rows = [(i, k, t) for i in (1, 2) for k, (_, t) in enumerate(diff)]
+    acts = [(1, k, j, *a) for k, x in edit.items() for j, a in enumerate(x)] + [(3, 0, 0, "+", "+ins 1")]
+    lines = spark.createDataFrame(rows[::-1], "id long, line int, text string")
+    delta = spark.createDataFrame(acts[::-1], "id long, line int, act int, op string, text string")
+    got = {(r.id, r.model): tuple(r)[2:] for r in E.multi_round(lines, delta, lambda d, e: e).collect()}
+    assert set(got) == {(i, m) for i in (1, 3) for m in E.MODELS} and got[1, "diff_lines"] == (30, 30, 30, 1) and got[3, "diff_lines"] == (1, 1, 1, 1)
+    monkeypatch.setattr(E, "text_keystrokes", lambda pairs: pytest.fail("keystrokes were computed"))
+    assert E.rounds_of(diff, edit, token_plans.guess, "pick_first", 6, ("diff_lines",)) == {"diff_lines": both["pick_first"]["diff_lines"]}
+
+
 def test_changed_spans_of_modules(spark):
     before = "X = 1\n\ndef f(a):\n    return a\n\nclass K:\n    y = 2\n    def m(self):\n        return 1\n\ndef gone():\n    pass\n"
     after = "X = 1  # same\n\ndef f(a):\n    b = a\n    return b\n\nclass K:\n    y = 3\n    def m(self):\n        return 1\n\ndef added():\n    pass\n"
