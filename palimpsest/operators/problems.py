@@ -5,7 +5,6 @@ Parsing and diffing are Arrow-batched functions of one module's change; everythi
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as K
-from ..functions.code import normalized
+from ..functions.code import normalized, parsed
 from ..functions.diff import diff_rows, line_diffs
 from ..functions.text import count_lines
 from .changes import version_changes
@@ -107,8 +106,8 @@ def spans_of_change(before: str | None, after: str | None, syntax_only: bool = T
 
 def parses(code: str | None) -> bool:
     try:
-        ast.parse(code or "")
-    except (SyntaxError, ValueError):
+        parsed(code or "")
+    except SyntaxError:
         return False
     return True
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.code import parsed
+
 DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 SPANS = "module string, path string, kind string, nth int, start int, until int, code string"
 
@@ -20,8 +22,8 @@ def _first(node: ast.stmt) -> int:
 def spans_of(code: str) -> list[tuple[str, str, int, int, int, str]]:
     """(path, kind, nth, start, until, code): headers, function bodies and runs of plain statements, lines from 1, half open."""
     try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError):
+        tree = parsed(code)
+    except SyntaxError:
         return []
     lines, out = code.split("\n"), []
     text = lambda a, b: "\n".join(lines[a - 1 : b - 1]).strip("\n") + "\n"
@@ -85,8 +87,8 @@ def changed_spans(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def imports_of(module: str, code: str) -> list[str]:
     try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError):
+        tree = parsed(code)
+    except SyntaxError:
         return []
     out = set()
     for node in ast.walk(tree):
@@ -137,8 +139,8 @@ def module_order(edges: list[tuple[str, str]], modules: list[str]) -> list[str]:
 def usages_of(module: str, code: str) -> list[tuple[int, str]]:
     """(line, full name) of names that resolve to members of this module or to imports, by lexical scope."""
     try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError):
+        tree = parsed(code)
+    except SyntaxError:
         return []
     names: dict[str, str] = {}
     for node in tree.body:

@@ -190,6 +190,15 @@ def test_whole_messages_count(spark, tmp_path):
     assert forms == {("yes", 2), ("yet", 1)}
 
 
+def test_code_too_deep_for_the_parser():
+    """The parser's MemoryError and RecursionError are texts that do not parse, not a failed task."""
+    overflow, deep = "a " + "not " * 9000 + "b", "x." * 20000 + "x"
+    for code in (overflow, deep, "x\0"):
+        assert normalized(code) == code and not Q.parses(code)
+        assert P.spans_of(code) == [] and P.imports_of("m", code) == [] and P.usages_of("m", code) == []
+    assert normalized("-" * 1500 + "1") == normalized("- " * 1500 + "1")
+
+
 def test_code_equal(spark):
     df = spark.createDataFrame([("f(a=1,b=2)", "f(b=2, a=1)"), ("x", "y")], "a string, b string")
     assert [r[0] for r in df.select(code_equal(F.col("a"), F.col("b"))).collect()] == [True, False]
