@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.code import code_equal, keystroke_cost, text_keystrokes
+from ..functions.distance import edit_distance
 from ..functions.text import safe_div
 from . import delta as D
 
@@ -37,7 +38,7 @@ def touched_texts(lines: DataFrame, delta: DataFrame) -> DataFrame:
 def edit_gains(lines: DataFrame, delta: DataFrame) -> DataFrame:
     """(id, diff_lines, levenshtein, keystrokes): what a delta saves, by cost model; the last two over the lines that it touches."""
     sizes = delta.groupBy("id").agg(F.count(F.lit(1)).alias("diff_lines"))
-    both = touched_texts(lines, delta).select("id", F.levenshtein("before", "after").cast("long").alias("levenshtein"), keystroke_cost("before", "after").cast("long").alias("keystrokes"))
+    both = touched_texts(lines, delta).select("id", edit_distance("before", "after").alias("levenshtein"), keystroke_cost("before", "after").cast("long").alias("keystrokes"))
     return sizes.join(both, "id")
 
 

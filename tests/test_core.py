@@ -10,6 +10,7 @@ from palimpsest.functions import text as T
 from palimpsest.functions import tokens as K
 from palimpsest.functions.code import block_keystrokes, code_equal, keystrokes, normalized
 from palimpsest.functions.diff import line_diffs
+from palimpsest.functions.distance import edit_distance, levenshtein, within_band
 from palimpsest.operators import changes as C
 from palimpsest.operators import delta as D
 from palimpsest.operators import evaluation as E
@@ -199,6 +200,38 @@ def test_code_too_deep_for_the_parser():
     assert normalized("-" * 1500 + "1") == normalized("- " * 1500 + "1")
 
 
+def test_levenshtein_against_the_table(spark):
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    rng = random.Random(11)
+    pairs = [("", ""), ("", "ab"), ("ab", "ab"), ("é😀b", "😀be")]
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc😀") for _ in range(rng.randrange(30))) for _ in range(2))
+        pairs += [(a, b), (a, "".join(c for c in a if rng.random() < 0.8) + rng.choice(["", "ab"]))]
+    assert [levenshtein(a, b) for a, b in pairs] == [table(a, b) for a, b in pairs]
+    # bands too narrow for the distance never give less
+    for a, b in pairs:
+        if 0 < len(b) <= len(a):
+            for slack in range(4):
+                low, high = min(slack, len(b)), min(len(a) - len(b) + slack, len(a) - 1)
+                got, d = within_band(a, b, low, high), table(a, b)
+                assert got >= d and (got == d or d > len(a) - len(b) + 2 * slack + 1)
+    # texts of many words of bits, and distances beyond the first band
+    words = [rng.choice(["lorem ", "ipsum ", "dolor ", "sit\n"]) for _ in range(400)]
+    long = ["".join(words), "".join(w for k, w in enumerate(words) if k % 7), "".join(rng.sample(words, 300))]
+    rows = spark.createDataFrame([(a, b) for a in long for b in [*long, None]], "a string, b string")
+    assert all(r.x == r.y for r in rows.select(F.levenshtein("a", "b").alias("x"), edit_distance("a", "b").alias("y")).collect())
+    # 120,000 characters with every seventh line gone: 10 ** 10 cells of a table
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(400)]
+    assert levenshtein("\n".join(lines), "\n".join(x for k, x in enumerate(lines) if k % 7 != 3)) == 301 * 57
+
+
 def test_code_equal(spark):
     df = spark.createDataFrame([("f(a=1,b=2)", "f(b=2, a=1)"), ("x", "y")], "a string, b string")
     assert [r[0] for r in df.select(code_equal(F.col("a"), F.col("b"))).collect()] == [True, False]
