@@ -19,6 +19,8 @@ SPECIAL = (PAD, BOS, EOS, NL, ADD, DEL)
 MARKS = 100
 _CUT = "\u001f"
 _PIECES = "[A-Za-z0-9_]+|[^A-Za-z0-9_]"
+#: a mark among tokens joined by _CUT
+_MARK = f"(?<![^{_CUT}])<[0-9]{{1,2}}>(?![^{_CUT}])"
 
 
 def none() -> Column:
@@ -59,7 +61,7 @@ def joined(segments: Column, separator: str | None = None) -> Column:
 def parted(tokens: Column, separator: str = NL) -> Column:
     """Segments between separators; none of an empty sequence."""
     part = lambda s: let(F.regexp_replace(s, f"^{_CUT}|{_CUT}$", ""), lambda t: F.when(t == "", none()).otherwise(F.split(t, _CUT)))
-    return F.when(F.size(tokens) == 0, no_lines()).otherwise(F.transform(F.split(F.array_join(tokens, _CUT), separator, -1), part))
+    return let(tokens, lambda ts: F.when(F.size(ts) == 0, no_lines()).otherwise(F.transform(F.split(F.array_join(ts, _CUT), separator, -1), part)))
 
 
 def line_range(tokens: Column, start: Column, until: Column) -> Column:
@@ -75,6 +77,11 @@ def is_mark(token: Column) -> Column:
     return token.rlike("^<[0-9]{1,2}>$")
 
 
+def marks_in(tokens: Column) -> Column:
+    """The marks of a sequence, by one pass over its text instead of an expression for every token."""
+    return F.regexp_extract_all(F.array_join(tokens, _CUT), F.lit(_MARK), F.lit(0))
+
+
 def mark_number(token: Column) -> Column:
     return F.when(is_mark(token), F.regexp_extract(token, "[0-9]+", 0).cast("int"))
 
@@ -119,7 +126,7 @@ def change_of(tokens: Column) -> Column:
 
     def side(lines: Column, other: str) -> Column:
         mine = F.filter(lines, lambda x: ~first_is(x, other))
-        return decode(joined(F.transform(mine, lambda x: F.when(first_is(x, ADD) | first_is(x, DEL), F.slice(x, 2, F.size(x))).otherwise(x)), NL))
+        return F.array_join(F.transform(mine, lambda x: F.array_join(F.when(first_is(x, ADD) | first_is(x, DEL), F.slice(x, 2, F.size(x))).otherwise(x), "")), "\n")
 
     return let(parted(tokens), lambda ls: F.struct(side(ls, ADD).alias("before"), side(ls, DEL).alias("after")))
 
@@ -133,25 +140,19 @@ def input_of_code(tokens: Column) -> Column:
     return let(F.concat(parted(tokens), F.array(none())), lambda ls: joined(F.transform(ls, lambda x, i: F.when(i < MARKS, F.concat(F.array(mark(i)), x)).otherwise(x)), NL))
 
 
-_ACTS = "array<array<string>>"
-_STATE = "struct<input:array<array<string>>,acts:array<array<array<string>>>,held:array<array<string>>>"
-
-
 def original_and_actions(tokens: Column) -> Column:
     """(input: lines, acts: the actions of each line and, last, those of the end) of an inline diff."""
 
-    def step(s: Column, x: Column) -> Column:
-        add, gone = first_is(x, ADD), first_is(x, DEL)
-        bare = F.when(gone, F.slice(x, 2, F.size(x))).otherwise(x)
-        done = F.when(gone, F.concat(s["held"], F.array(F.array(F.lit(DEL))))).otherwise(s["held"])
-        return F.struct(
-            F.when(add, s["input"]).otherwise(F.concat(s["input"], F.array(bare))).alias("input"),
-            F.when(add, s["acts"]).otherwise(F.concat(s["acts"], F.array(done))).alias("acts"),
-            F.when(add, F.concat(s["held"], F.array(x))).otherwise(no_lines()).alias("held"),
-        ).cast(_STATE)
+    def cut(ls: Column, at: Column) -> Column:
+        # at: the places of lines that are not added; the adds before each of them lie between it and the one before
+        adds = lambda k, until: let(F.coalesce(F.get(at, k - 1), F.lit(-1)), lambda old: F.slice(ls, old + 2, until - old - 1))
+        bare = lambda x: F.when(first_is(x, DEL), F.slice(x, 2, F.size(x))).otherwise(x)
+        gone = lambda i: F.when(first_is(F.get(ls, i), DEL), F.array(F.array(F.lit(DEL)))).otherwise(no_lines())
+        acts = F.transform(at, lambda i, k: F.concat(adds(k, i), gone(i)))
+        return F.struct(F.transform(at, lambda i: bare(F.get(ls, i))).alias("input"), F.concat(acts, F.array(adds(F.size(at), F.size(ls)))).alias("acts"))
 
-    start = F.struct(no_lines().alias("input"), F.array().cast(f"array<{_ACTS}>").alias("acts"), no_lines().alias("held")).cast(_STATE)
-    return F.aggregate(parted(tokens), start, step, lambda s: F.struct(s["input"].alias("input"), F.concat(s["acts"], F.array(s["held"])).alias("acts")))
+    places = lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(~first_is(x, ADD), i)), lambda i: i.isNotNull())
+    return let(parted(tokens), lambda ls: let(places(ls), lambda at: cut(ls, at)))
 
 
 def delta_of(tokens: Column) -> Column:
@@ -175,8 +176,16 @@ def input_output(tokens: Column) -> Column:
 
 def inlined(tokens: Column, output: Column, keep: bool = False) -> Column:
     """The input with the output's segments in place of their marks; marks without one go, or stay where `keep`."""
-    swap = lambda m: F.flatten(F.transform(tokens, lambda t: F.when(is_mark(t), F.coalesce(F.try_element_at(m, t), F.array(t) if keep else none())).otherwise(F.array(t))))
-    return let(as_map(segments(output)), swap)
+
+    def swap(m: Column, text: Column) -> Column:
+        keys, parts = F.regexp_extract_all(text, F.lit(_MARK), F.lit(0)), F.split(text, _MARK, -1)
+        fill = lambda k: F.coalesce(F.array_join(F.try_element_at(m, k), _CUT), k if keep else F.lit(""))
+        bare = lambda p: F.regexp_replace(p, f"^{_CUT}|{_CUT}$", "")
+        pieces = lambda ps: F.concat(F.array(bare(F.get(ps, F.lit(0)))), F.flatten(F.zip_with(keys, F.slice(ps, 2, F.greatest(F.size(ps) - 1, F.lit(0))), lambda k, p: F.array(fill(k), bare(p)))))
+        whole = F.array_join(F.filter(let(parts, pieces), lambda p: p != ""), _CUT)
+        return let(whole, lambda w: F.when(w == "", none()).otherwise(F.split(w, _CUT)))
+
+    return let(as_map(segments(output)), lambda m: let(F.array_join(tokens, _CUT), lambda text: swap(m, text)))
 
 
 def edit_of(tokens: Column, output: Column) -> Column:
@@ -188,7 +197,7 @@ def without_unknown(tokens: Column, output: Column) -> Column:
     """The output in the input's order of marks, without segments of marks that the input lacks; unchanged where both have the same marks."""
 
     def order(segs: Column) -> Column:
-        keys = F.array_distinct(F.filter(tokens, is_mark))
+        keys = F.array_distinct(marks_in(tokens))
         known = F.transform(segs, lambda s: s["mark"])
         pick = F.flatten(F.transform(F.filter(keys, lambda k: F.array_contains(known, k)), lambda k: F.concat(F.array(k), F.element_at(F.filter(segs, lambda s: s["mark"] == k), 1)["tokens"])))
         return F.when((F.size(F.array_except(keys, known)) == 0) & (F.size(F.array_except(known, keys)) == 0), output).otherwise(pick)
@@ -245,7 +254,7 @@ def small_edit(output: Column, most: int = 5) -> Column:
 
 def marks_known(tokens: Column, output: Column) -> Column:
     """Whether the input has all marks of the output."""
-    return F.size(F.array_except(F.filter(output, is_mark), F.filter(tokens, is_mark))) == 0
+    return F.size(F.array_except(marks_in(output), marks_in(tokens))) == 0
 
 
 def changed_tokens(delta: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions import sequences as S
 from ..functions import tokens as K
 from ..operators import delta as D
 from ..operators import evaluation as E
@@ -34,8 +36,26 @@ def md5(tokens):
 
 def diff_tokens(spark, sf_dir):
     """(id, tokens): the inline diff of each document's scripted edit."""
+    return diffs(spark, sf_dir).select("id", K.encode_diff(F.col("diff")).alias("tokens"))
+
+
+def diffs(spark, sf_dir):
+    """(id, diff): the lines of the inline diff of each document's scripted edit."""
     rows = D.positions(D.apply_to_change(*both(spark, sf_dir))).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat("tag", "text").alias("d")))).alias("rows"))
-    return rows.select("id", K.encode_diff(F.transform("rows", lambda r: r["d"])).alias("tokens"))
+    return rows.select("id", F.transform("rows", lambda r: r["d"]).alias("diff"))
+
+
+def of_tokens(spark, sf_dir, columns, f):
+    """(id, columns...): f of each diff's tokens, a tuple, or None for no row; the tokens stay in Python."""
+    names = ["id", *(c.split()[0] for c in columns.split(", "))]
+
+    def run(lots):
+        for lot in lots:
+            rows = [(i, *r) for i, d in zip(lot.column("id").to_pylist(), lot.column("diff").to_pylist()) if (r := f(S.encode_diff(d))) is not None]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+
+    return diffs(spark, sf_dir).mapInArrow(run, f"id long, {columns}")
 
 
 @query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text <> '')
@@ -70,8 +90,7 @@ SELECT a.id, before_md5, coalesce(after_md5, md5('')) AS after_md5 FROM (SELECT
 LEFT JOIN (SELECT id, md5(string_agg(text, chr(10) ORDER BY pos) || chr(10)) AS after_md5 FROM o GROUP BY id) b USING (id)""")
 def output_inlined(spark, sf_dir):
     """The edit that an input and its output stand for; lines from the hundredth on keep their old form."""
-    t = diff_tokens(spark, sf_dir).select("id", K.input_output(F.col("tokens")).alias("io")).select("id", K.edit_of(F.col("io.input"), F.col("io.output")).alias("c"))
-    return t.select("id", F.md5("c.before").alias("before_md5"), F.md5("c.after").alias("after_md5"))
+    return of_tokens(spark, sf_dir, "before_md5 string, after_md5 string", lambda tokens: tuple(S.md5([text]) for text in S.change_of(S.inlined(*S.input_output(tokens)))))
 
 
 ACTS = "SELECT id, line::BIGINT AS line, count(*)::BIGINT AS n_acts, md5(string_agg(op || text, chr(10) ORDER BY act)) AS acts_md5 FROM d {} GROUP BY id, line"

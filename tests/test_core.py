@@ -6,6 +6,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import sequences as L
 from palimpsest.functions import text as T
 from palimpsest.functions import tokens as K
 from palimpsest.functions.code import block_keystrokes, code_equal, keystrokes, normalized
@@ -346,6 +347,27 @@ def test_tokens(spark):
     assert one(spark, K.header_tokens(F.array(words("h")), F.lit(3), 50)) == ["h", K.NL, "#", " ", "offset", ":", " ", "3", K.NL]
 
 
+def test_lists_follow_the_rules_of_expressions(spark):
+    """Diffs with adds first, last and in runs, empty lines, more lines than marks, and marks in the text."""
+    rng = random.Random(23)
+    diffs = [[" x"], ["+a"], ["-a"], [" ", "+", "- "], ["+a", "+b", "-c", "+d"], [" <5> <nl>", "-<5>", "+<del> <7>"], [f"{' +-'[k % 3]}w {k}" for k in range(320)]]
+    diffs += [[rng.choice("  +-") + rng.choice(["", "a b", "(c)", "é😀", "<3>"]) for _ in range(rng.randrange(2, 12))] for _ in range(40)]
+    t = spark.createDataFrame([(k, d) for k, d in enumerate(diffs)], "k int, d array<string>").select("k", K.encode_diff(F.col("d")).alias("t"))
+    t = t.select("*", K.input_output(F.col("t")).alias("io"), K.delta_of(F.col("t")).alias("e"))
+    io, e = ("io.input", "io.output"), ("e.original", "e.delta")
+    t = t.select("*", K.edit_of(*map(F.col, io)).alias("c"), K.change_of(F.col("t")).alias("was"), K.valid_output(F.col(io[1])).alias("valid"), K.marks_known(*map(F.col, io)).alias("known"), K.applied(*map(F.col, e)).alias("both"), K.applied(*map(F.col, e), keep_deleted=False).alias("new"))
+    for r in t.collect():
+        tokens = L.encode_diff(diffs[r.k])
+        assert tokens == r.t and L.change_of(tokens) == tuple(r.was)
+        source, output = L.input_output(tokens)
+        assert (source, output) == tuple(r.io) and L.change_of(L.inlined(source, output)) == tuple(r.c)
+        assert (L.valid_output(output), L.marks_known(source, output)) == (r.valid, r.known)
+        old, delta = L.delta_of(tokens)
+        assert (old, delta) == tuple(r.e) and L.applied(old, delta) == r.both and L.applied(old, delta, keep_deleted=False) == r.new
+    # what the rules demand, by hand: two adds and a delete of line 0, an add at the end
+    assert L.input_output(L.encode_diff(diffs[4])) == (["<0>", "c", K.NL, "<1>"], ["<0>", K.ADD, "a", K.NL, K.ADD, "b", K.NL, K.DEL, "<1>", K.ADD, "d", K.NL])
+
+
 def test_evaluation(spark):
     """The grouped delta functions against the relational ones, and a simulation by hand."""
     rng = random.Random(17)
