@@ -121,9 +121,12 @@ a AS (SELECT id, flatten(list(x ORDER BY pos)) AS y FROM a1 GROUP BY id)
 SELECT t.id, {MD5.format('x')} AS diff_md5, coalesce({MD5.format('y')}, md5('')) AS after_md5, n_tokens, n_lines FROM t LEFT JOIN a USING (id) JOIN z USING (id)""")
 def token_delta_applied(spark, sf_dir):
     """Token deltas applied to their originals, both ways, with their sizes."""
-    t = diff_tokens(spark, sf_dir).select("id", K.delta_of(F.col("tokens")).alias("d")).where(F.size("d.delta") > 0)
-    old, delta = F.col("d.original"), F.col("d.delta")
-    return t.select("id", md5(K.applied(old, delta)).alias("diff_md5"), md5(K.applied(old, delta, keep_deleted=False)).alias("after_md5"), K.changed_tokens(delta).cast("long").alias("n_tokens"), K.changed_lines(delta).cast("long").alias("n_lines"))
+    def f(tokens):
+        old, delta = S.delta_of(tokens)
+        acts = [a for some in delta.values() for a in some]
+        return (S.md5(S.applied(old, delta)), S.md5(S.applied(old, delta, keep_deleted=False)), sum(map(len, acts)), len(acts)) if acts else None
+
+    return of_tokens(spark, sf_dir, "diff_md5 string, after_md5 string, n_tokens long, n_lines long", f)
 
 
 @query(f"""WITH t AS (SELECT doc_id, {TOK.format('text')} AS t FROM documents WHERE text <> '')
