@@ -81,8 +81,11 @@ def diff_decoded(spark, sf_dir):
 
 @query(f"WITH {IO} SELECT id, {MD5.format('input')} AS input_md5, {MD5.format('output')} AS output_md5, true AS valid, true AS known FROM io")
 def input_output(spark, sf_dir):
-    t = diff_tokens(spark, sf_dir).select("id", K.input_output(F.col("tokens")).alias("io"))
-    return t.select("id", md5("io.input").alias("input_md5"), md5("io.output").alias("output_md5"), K.valid_output(F.col("io.output")).alias("valid"), K.marks_known(F.col("io.input"), F.col("io.output")).alias("known"))
+    def f(tokens):
+        source, output = S.input_output(tokens)
+        return S.md5(source), S.md5(output), S.valid_output(output), S.marks_known(source, output)
+
+    return of_tokens(spark, sf_dir, "input_md5 string, output_md5 string, valid boolean, known boolean", f)
 
 
 @query(f"""WITH {DIFF}, o AS (SELECT id, pos, text FROM c WHERE tag <> '-' AND line < 100 UNION ALL SELECT id, pos, text FROM c WHERE line >= 100 AND act = 99)
